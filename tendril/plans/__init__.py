@@ -4,6 +4,6 @@
 def load():
     """Import every query module and return the registry."""
     from tendril.plans import registry
-    from tendril.plans import series, graphs  # noqa: F401
+    from tendril.plans import graphs, matching, series  # noqa: F401
 
     return registry

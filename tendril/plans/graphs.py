@@ -246,7 +246,7 @@ kinds AS (
   FROM oriented o JOIN vertices k ON k.graph_id = o.graph_id AND k.v = o.v WHERE base_count = 1 GROUP BY 1, 2),
 fil AS (
   SELECT b.graph_id, row_number() OVER (PARTITION BY b.graph_id ORDER BY b.v) - 1 AS filament_id, b.t, b.object_id,
-    'F_' || lpad(CAST(b.object_id - 3 AS VARCHAR), greatest(4, length(CAST(b.object_id - 3 AS VARCHAR))), '0') AS object_name, coalesce(total, 0) AS total_length,
+    printf('F_%04d', b.object_id - 3) AS object_name, coalesce(total, 0) AS total_length,
     CASE WHEN r.x - b.x > 0 THEN 360 - degrees(acos((r.y - b.y) / sqrt(pow(r.x - b.x, 2) + pow(r.y - b.y, 2))))
          ELSE degrees(acos((r.y - b.y) / nullif(sqrt(pow(r.x - b.x, 2) + pow(r.y - b.y, 2)), 0))) END AS angle,
     CASE WHEN b.bulbous = 'BULBOUS' THEN 1 ELSE 0 END AS bulbous, b.v AS base_v, b.x, b.y, b.z, coalesce(nb, 0) AS n_branch, coalesce(nt, 0) AS n_tips
@@ -390,7 +390,7 @@ R_MATCH = """
 SELECT graph_id, 'filopodia' AS component, '?' AS id, t, 'multiple filopodia with same match ID' AS problem, 'isolate filopodia' AS solution
 FROM (SELECT graph_id, t, row_number() OVER (PARTITION BY graph_id, t, match_id ORDER BY v) AS k FROM vertices WHERE node_type = 'BASE_NODE' AND match_id <> 1) WHERE k > 1
 """
-NAME = "'F_' || lpad(CAST(object_id - 3 AS VARCHAR), greatest(4, length(CAST(object_id - 3 AS VARCHAR))), '0')"
+NAME = "printf('F_%04d', object_id - 3)"
 R_GAPS = f"""
 SELECT graph_id, 'filopodium' AS component, {NAME} AS id, -1 AS t, 'has a gap' AS problem, 'fill gap or isolate' AS solution
 FROM (SELECT graph_id, object_id, max(t) - min(t) + 1 AS life, count(CASE WHEN node_type = 'BASE_NODE' THEN 1 END) AS n FROM vertices WHERE object_id > 3 GROUP BY 1, 2) WHERE life <> n
@@ -483,8 +483,8 @@ def violation_summary(spark, d):
 @query(
     "label_names",
     WITH + """ SELECT graph_id, v, CASE object_id WHEN 1 THEN 'UNASSIGNED' WHEN 2 THEN 'IGNORED' WHEN 3 THEN 'AXON' ELSE """ + NAME + """ END AS object_name,
-    CASE match_id WHEN 1 THEN 'UNASSIGNED' ELSE 'M_' || lpad(CAST(match_id - 3 AS VARCHAR), greatest(4, length(CAST(match_id - 3 AS VARCHAR))), '0') END AS match_name,
-    'GC_' || lpad(CAST(gc AS VARCHAR), 3, '0') AS core_name, 'T_' || lpad(CAST(t AS VARCHAR), 3, '0') AS step_name FROM vertices""",
+    CASE match_id WHEN 1 THEN 'UNASSIGNED' ELSE printf('M_%04d', match_id - 3) END AS match_name,
+    printf('GC_%03d', gc) AS core_name, printf('T_%03d', t) AS step_name FROM vertices""",
 )
 def label_names(spark, d):
     return scene.vertices(spark, d).select(
@@ -492,7 +492,7 @@ def label_names(spark, d):
     )
 
 
-@query("dictionary_join", WITH + """ SELECT graph_id, 'F_' || lpad(CAST(object_id - 3 AS VARCHAR), greatest(4, length(CAST(object_id - 3 AS VARCHAR))), '0') AS name, count(*) AS n FROM vertices WHERE object_id > 3 GROUP BY 1, 2""")
+@query("dictionary_join", WITH + """ SELECT graph_id, printf('F_%04d', object_id - 3) AS name, count(*) AS n FROM vertices WHERE object_id > 3 GROUP BY 1, 2""")
 def dictionary_join(spark, d):
     """Names from a label dictionary built from the customers, joined to the vertices."""
     v = scene.vertices(spark, d)
