@@ -210,19 +210,17 @@ def object_table(filaments: DataFrame, life: DataFrame, max_t: DataFrame, thresh
     )
 
 
-def local_deviation(points: DataFrame, samples: DataFrame, radius: int) -> DataFrame:
+def local_deviation(points: DataFrame, samples: DataFrame, radius: int, field: list[str]) -> DataFrame:
     """Sample deviation of field values in the cube of ``radius`` voxels around each point.
 
-    ``points(key, x, y, z)`` and ``samples(x, y, z, value)`` hold integer positions. Partial
-    sums are joined voxel row by voxel row: the z offsets are expanded on the point side
-    only, x and y likewise, and values meet by equality. Fewer than two samples is NULL.
+    Positions are integers and ``field`` names the columns that tell fields apart. Offsets are
+    expanded on the point side and values meet by equality. Fewer than two samples is NULL.
     """
-    offs = F.sequence(F.lit(-radius), F.lit(radius))
     probe = points
     for a in ("x", "y", "z"):
-        probe = probe.withColumn(a, F.explode(F.transform(offs, lambda d, a=a: (F.col(a) + d).cast("int"))))
+        probe = probe.withColumn(a, F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)))
     keys = [c for c in points.columns if c not in ("x", "y", "z")]
-    return probe.join(samples, ["x", "y", "z"]).groupBy(*keys).agg(
+    return probe.join(samples, [*field, "x", "y", "z"]).groupBy(*keys).agg(
         F.count("value").alias("n"), F.when(F.count("value") > 1, F.stddev_samp("value")).alias("deviation")
     )
 

@@ -169,7 +169,8 @@ def coordinate_lookup(spark, d):
 @query(
     "match_statistics",
     WITH + """,
-    pts AS (SELECT CASE WHEN e.object_id % 3 = 0 THEN 'a' WHEN e.object_id % 3 = 1 THEN 'b' ELSE 'c' END AS g, p.e, p.ord, p.x, p.y, p.z FROM points p JOIN edges e ON e.graph_id = p.graph_id AND e.e = p.e WHERE e.src % 4 = 0),
+    pts AS (SELECT CASE WHEN e.object_id % 3 = 0 THEN 'a' WHEN e.object_id % 3 = 1 THEN 'b' ELSE 'c' END AS g, p.e, p.ord, p.x, p.y, p.z FROM points p JOIN edges e ON e.graph_id = p.graph_id AND e.e = p.e
+            JOIN vertices r ON r.graph_id = e.graph_id AND r.v = e.src WHERE r.node_type = 'ROOT_NODE'),
     m AS (SELECT a.g, a.e, a.ord, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.z) AS z, count(DISTINCT b.g) AS n FROM pts a
           LEFT JOIN pts b ON b.g <> a.g AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 AND """ + DIST + """ < 3 GROUP BY 1, 2, 3),
     seg AS (SELECT g, n, lag(n) OVER w AS pn, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) / 2 AS h FROM m WINDOW w AS (PARTITION BY g, e ORDER BY ord)),
@@ -179,10 +180,11 @@ def coordinate_lookup(spark, d):
     """,
 )
 def match_statistics(spark, d):
-    """Three interleaved sets of customers compared along their root edges."""
+    """Three interleaved sets of customers compared along their core edges, those at a root."""
     v, e = materialize(scene.vertices(spark, d), "vertices"), materialize(scene.edges(spark, d), "edges")
     third = F.when(F.col("object_id") % 3 == 0, "a").when(F.col("object_id") % 3 == 1, "b").otherwise("c")
-    line = e.filter("src % 4 = 0")
+    roots = v.filter(F.col("node_type") == vocab.ROOT).select("graph_id", F.col("v").alias("src"))
+    line = e.join(roots, ["graph_id", "src"], "left_semi")
     pts = scene.points(v, line).join(line.select("graph_id", "e", third.alias("g")), ["graph_id", "e"])
     return K.compare(pts.select(F.col("g").alias("graph_id"), "e", "ord", "x", "y", "z"), 3.0, None).withColumn("length", F.round("length", 3))
 
@@ -205,14 +207,12 @@ def resampled_length(spark, d):
     return G.edge_lengths(fine).groupBy("graph_id").agg(F.round(F.sum("length"), 3).alias("length"))
 
 
-COOC = "pairs AS (SELECT DISTINCT least(l_suppkey, l_partkey + 1000000) AS a, greatest(l_suppkey, l_partkey + 1000000) AS b FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F')"
-
-
 @query(
     "entity_components",
     """
-    SELECT o_custkey AS id, 0 AS dummy FROM orders WHERE false
-    """.replace("SELECT o_custkey AS id, 0 AS dummy FROM orders WHERE false", "SELECT 'c' || c_custkey AS id, (SELECT min('c' || k.c_custkey) FROM customer k WHERE k.c_nationkey = c.c_nationkey) AS component FROM customer c UNION ALL SELECT 'n' || c_nationkey, min('c' || c_custkey) FROM customer GROUP BY c_nationkey"),
+    SELECT 'c' || c_custkey AS id, (SELECT min('c' || k.c_custkey) FROM customer k WHERE k.c_nationkey = c.c_nationkey) AS component FROM customer c
+    UNION ALL SELECT 'n' || c_nationkey, min('c' || c_custkey) FROM customer GROUP BY c_nationkey
+    """,
 )
 def entity_components(spark, d):
     """Customers and their nations as one graph: a component per nation."""
@@ -220,22 +220,89 @@ def entity_components(spark, d):
     return G.components(c.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b")), "a", "b")
 
 
+CO = """
+co AS (SELECT p_brand, s_nationkey, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+av AS (SELECT avg(n) AS a FROM co),
+pr AS (SELECT a.s_nationkey AS a, b.s_nationkey AS b FROM co a JOIN co b ON a.p_brand = b.p_brand AND a.s_nationkey < b.s_nationkey
+       WHERE a.n > (SELECT a FROM av) AND b.n > (SELECT a FROM av) GROUP BY 1, 2 HAVING count(*) >= 10)
+"""
+
+
+def brand_sharing(spark, d):
+    """Nations whose suppliers are strong in the same ten or more brands (25 nations at most)."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    co = materialize(
+        li.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("p_brand", "s_nationkey").agg(F.count(F.lit(1)).alias("n")),
+        "sharing",
+    )
+    strong = co.filter(F.col("n") > co.agg(F.avg("n")).scalar())
+    a, b = strong.select("p_brand", F.col("s_nationkey").alias("a")), strong.select("p_brand", F.col("s_nationkey").alias("b"))
+    return a.join(b, "p_brand").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10").select("a", "b")
+
+
+@query("nation_triangles", "WITH" + CO + " SELECT x.a AS p, x.b AS q, y.b AS r FROM pr x JOIN pr y ON y.a = x.b JOIN pr z ON z.a = x.a AND z.b = y.b")
+def nation_triangles(spark, d):
+    return G.triangles(brand_sharing(spark, d))
+
+
+@query(
+    "nation_cliques",
+    "WITH" + CO + """ SELECT x.a AS m1, x.b AS m2, y.b AS m3, w.b AS m4 FROM pr x JOIN pr y ON y.a = x.b JOIN pr z ON z.a = x.a AND z.b = y.b
+    JOIN pr w ON w.a = y.b JOIN pr u ON u.a = x.a AND u.b = w.b JOIN pr v ON v.a = x.b AND v.b = w.b""",
+)
+def nation_cliques(spark, d):
+    """Cliques of four nations."""
+    c = G.cliques(brand_sharing(spark, d), 4)
+    return c.select(*[F.element_at("members", i).alias(f"m{i}") for i in range(1, 5)])
+
+
 @query(
-    "supplier_triangles",
+    "spanning_forest_weight",
     """
-    WITH co AS (SELECT DISTINCT p.p_brand, s.s_nationkey FROM lineitem JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.09),
-    pr AS (SELECT a.s_nationkey AS a, b.s_nationkey AS b FROM co a JOIN co b ON a.p_brand = b.p_brand AND a.s_nationkey < b.s_nationkey GROUP BY 1, 2 HAVING count(*) > 3)
-    SELECT x.a AS p, x.b AS q, y.b AS r FROM pr x JOIN pr y ON y.a = x.b JOIN pr z ON z.a = x.a AND z.b = y.b
+    WITH e AS (SELECT DISTINCT c_nationkey AS a, o_orderpriority AS b FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT count(DISTINCT a) + count(DISTINCT b) - 1 AS n_edges FROM e
     """,
 )
-def supplier_triangles(spark, d):
-    """3-cliques of nations whose suppliers often share brands; at most 25 nations a side."""
-    li = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09").select("l_partkey", "l_suppkey")
-    co = (
-        li.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("p_brand", "s_nationkey").distinct()
+def spanning_forest_weight(spark, d):
+    """Edges in the spanning forest of the customer-item graph, weighted by price: one per vertex but the root."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = o.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("p"), "o_orderpriority").alias("b")).agg(F.min("o_totalprice").alias("w"))
+    e = e.withColumn("e", F.concat("a", "b"))
+    return G.spanning_forest(materialize(e, "edges")).agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query("spanning_forest")
+def spanning_forest(spark, d):
+    """Cheapest orders that connect all customers and all order days."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("e"), F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("d"), F.to_date("o_orderdate")).alias("b"), F.col("o_totalprice").alias("w")
     )
-    a, b = co.select("p_brand", F.col("s_nationkey").alias("a")), co.select("p_brand", F.col("s_nationkey").alias("b"))
-    pr = a.join(b, "p_brand").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
-    return G.triangles(pr)
+    return G.spanning_forest(o)
+
+
+@query(
+    "threshold_clusters",
+    """
+    WITH RECURSIVE e AS (SELECT 'c' || c_nationkey AS a, 's' || s_nationkey AS b FROM (SELECT c_nationkey, s_nationkey, min(o_totalprice) AS w FROM orders JOIN customer ON c_custkey = o_custkey
+      JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) WHERE w <= 1500),
+    u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id)
+    SELECT id, min(c) AS component FROM r GROUP BY id
+    """,
+)
+def threshold_clusters(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = j.groupBy(F.concat(F.lit("c"), "c_nationkey").alias("a"), F.concat(F.lit("s"), "s_nationkey").alias("b")).agg(F.min("o_totalprice").alias("w"))
+    return G.threshold_clusters(e, 1500.0)
+
+
+@query("shortest_paths")
+def shortest_paths(spark, d):
+    """Cheapest chains of orders from each order priority to every customer and day."""
+    o = table(spark, d, "orders")
+    code = lambda kind, c: F.abs(F.xxhash64(F.lit(kind), c)).cast("bigint")
+    e = o.select(code("c", F.col("o_custkey")).alias("a"), code("d", F.to_date("o_orderdate")).alias("b"), F.col("o_totalprice").alias("w"))
+    top = o.select(code("c", F.col("o_custkey")).alias("k"), "o_orderpriority", "o_totalprice").groupBy("o_orderpriority").agg(F.max_by("k", F.struct("o_totalprice", "k")).alias("source"))
+    return G.shortest_paths(e.groupBy("a", "b").agg(F.min("w").alias("w")), top.select("source").distinct())
