@@ -70,7 +70,7 @@ def correspondence_edges(spark, d):
 @query("start_transforms")
 def start_transforms(spark, d):
     left, right = halves(spark, d)
-    cl = materialize(X.start_cliques(X.correspondence_edges(left, right, 0.08, 0.002)), "cliques")
+    cl = materialize(X.start_cliques(X.correspondence_edges(left, right, 0.1, 0.01)), "cliques")
     fit = X.start_transforms(cl, left, right)
     return fit.select("g.g", "g.l", "g.r", F.round("tx", 6).alias("tx"), F.round("ty", 6).alias("ty"), F.round("tz", 6).alias("tz"))
 
