@@ -152,6 +152,7 @@ def clip_by_surface(points: DataFrame, triangles: DataFrame, cell: float, keep_i
     seq = dense_ids(own.unionByName(cut).withColumn("_o", F.struct("at", "cut")), ["graph_id", "e"], "_o", "pos")
     run = O.running_sums(seq, ["graph_id", "e"], "pos", {"_n": F.col("cut")}).join(side, ["graph_id", "e"])
     # A crossing ends the part before it and starts the part after it.
-    parts = run.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(F.col("_n") - 1, F.col("_n"))).otherwise(F.array("_n"))).cast("int"))
+    parts = run.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(F.col("_n") - 1, F.col("_n"))).otherwise(F.array("_n"))))
+    parts = parts.withColumn("part", F.col("part").cast("int"))
     inside = F.col("inside") == (F.col("part") % 2 == 0)
     return parts.filter(inside if keep_inside else ~inside).select("graph_id", "e", "part", F.col("pos").cast("int").alias("ord"), *XYZ)

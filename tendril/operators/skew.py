@@ -47,10 +47,8 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     plus the sizes of the partitions before it. The sorted rows go to scratch first, so that
     both steps see the same partition bounds even when tasks are retried.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )

@@ -59,7 +59,7 @@ def _mesh_sections(text: str) -> Iterator[tuple[str, str, int, list[str]]]:
     tags = {}
     for loc, width, attr, tag in re.findall(r"(\w+)\s*\{\s*\w+(?:\[(\d+)\])?\s+(\w+)\s*\}\s*=?\s*(@\d+)", head):
         tags[tag] = (loc, attr, int(width or 1))
-    for tag, data in re.findall(r"\n(@\d+)[ \t]*\n([^@]*)", body):
+    for tag, data in re.findall(r"(?m)^(@\d+)[ \t]*\n([^@]*)", body):
         if tag in tags:
             yield (*tags[tag], data.split())
 
