@@ -172,7 +172,8 @@ def crop_box(roots: DataFrame, offset: tuple[int, int, int], size: tuple[int, in
 def crop(voxels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Voxels inside the box of their key. Boxes are one row per key."""
     inside = reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in POS])
-    return voxels.join(boxes.select(*keys, *[f"{p}_{c}" for p in ("lo", "hi") for c in POS]), keys).filter(inside)
+    extra = [c for c in boxes.columns if c not in voxels.columns]
+    return voxels.join(boxes.select(*keys, *extra), keys).filter(inside)
 
 
 def split_labels(labels: DataFrame, wanted: DataFrame, image: DataFrame | None = None) -> DataFrame:

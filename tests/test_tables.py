@@ -212,3 +212,18 @@ def test_streamed_steps(spark, tmp_path):
     src = spark.readStream.schema("x double, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     append_steps(src, str(tmp_path / "steps"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.t, r.id) for r in spark.read.parquet(str(tmp_path / "steps")).collect()) in ([(0, 0), (1, 1)], [(0, 1), (1, 0)])
+
+
+def test_roots_follow_a_moving_blob(spark):
+    from tendril.operators.propagation import propagate_roots
+
+    rows = []
+    for t in range(3):
+        for x in range(12):
+            for y in range(7):
+                d2 = (x - 3 - t) ** 2 + (y - 3) ** 2
+                rows.append(("f", t, x, y, 0, 100 * math.exp(-d2 / 4)))
+    img = spark.createDataFrame(rows, "field_id string, t int, x int, y int, z int, value double")
+    root = spark.createDataFrame([("f", 1, 3, 3, 0)], "field_id string, id int, x int, y int, z int")
+    got = propagate_roots(img, root, 2, (2, 2, 0), (2, 1, 0)).orderBy("t").collect()
+    assert [(r.x, r.y) for r in got] == [(3, 3), (4, 3), (5, 3)]
