@@ -293,12 +293,11 @@ def deconvolve(image: DataFrame, kernel: DataFrame, rounds: int = 10, step: floa
     if cells > 100_000:
         raise ValueError("kernel too large")
     total = kernel.agg(F.sum("w")).scalar()
-    k = F.broadcast(kernel.select("dx", "dy", "dz", (F.col("w") / total).alias("w")))
+    shape = kernel.agg(F.collect_list(F.struct("dx", "dy", "dz", "w"))).scalar()
 
     def blur(f: DataFrame, value: str, sign: int) -> DataFrame:
-        # Every voxel meets every kernel cell: a join with a checked, constant-size table.
-        moved = f.select(*key, value).join(k, F.lit(True)).select(
-            "field_id", "t", *[(F.col(c) + sign * F.col(f"d{c}")).cast("int").alias(c) for c in POS], (F.col(value) * F.col("w")).alias("_b")
+        moved = f.select(*key, value, F.explode(shape).alias("k")).select(
+            "field_id", "t", *[(F.col(c) + sign * F.col(f"k.d{c}")).cast("int").alias(c) for c in POS], (F.col(value) * F.col("k.w") / total).alias("_b")
         )
         return moved.groupBy(*key).agg(F.sum("_b").alias("_b"))
 

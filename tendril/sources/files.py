@@ -20,6 +20,8 @@ from tendril.functions import ordered as O
 
 # Name patterns per kind of file.
 GLOBS = {"tif": "*.{tif,tiff}", "am": "*.am", "hoc": "*.hoc"}
+# Fixed value: content type that marks a spatial graph file.
+GRAPH_CONTENT = "HxSpatialGraph"
 ROWS_PER_BATCH = 50_000
 
 
@@ -109,7 +111,7 @@ def read_lattice(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, edges and edge points of spatial graph files; ``graph_id`` is the path."""
-    raw = read_mesh_text(spark, folder, "HxSpatialGraph")
+    raw = read_mesh_text(spark, folder, GRAPH_CONTENT)
     pick = lambda loc, attr: raw.filter((F.col("location") == loc) & (F.col("attribute") == attr))
     v = pick("VERTEX", "VertexCoordinates").select(F.col("path").alias("graph_id"), F.col("row").alias("v"), *[F.col("vals")[i].alias(c) for i, c in enumerate("xyz")])
     ends = pick("EDGE", "EdgeConnectivity").select("path", "row", F.col("vals")[0].cast("bigint").alias("src"), F.col("vals")[1].cast("bigint").alias("dst"))

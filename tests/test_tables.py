@@ -179,7 +179,7 @@ def test_clip_by_closed_surface(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "s_gc001_t000.am").write_text(
-        '# AmiraMesh ASCII 1.0\n\ndefine VERTEX 3\ndefine EDGE 2\ndefine POINT 5\n\nParameters { ContentType "HxSpatialGraph" }\n\n'
+        '# Mesh ASCII 1.0\n\ndefine VERTEX 3\ndefine EDGE 2\ndefine POINT 5\n\nParameters { ContentType "HxSpatialGraph" }\n\n'
         "VERTEX { float[3] VertexCoordinates } @1\nEDGE { int[2] EdgeConnectivity } @2\nEDGE { int NumEdgePoints } @3\nPOINT { float[3] EdgePointCoordinates } @4\n\n"
         "# Data section follows\n@1\n0 0 0\n1 0 0\n2 0 0\n\n@2\n0 1\n1 2\n\n@3\n2\n3\n\n@4\n0 0 0\n1 0 0\n1 0 0\n1.5 0 0\n2 0 0\n"
     )
