@@ -31,3 +31,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tendril.llm import bpe
 
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+from tendril.llm import chat, reputation  # noqa: E402
+
+
+@query("op2_url_reputation", reputation.oracle())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are the outcomes of the pages with the same number: bad is low quality or toxic."""
+    from pyspark.sql import functions as F
+
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return reputation.judge(table(spark, sf_dir, "pages"), outcomes, reputation.RULES)
+
+
+@query("op3_chat_prefix_tree", chat.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.with_extra(table(spark, sf_dir, "conversations")))
