@@ -50,3 +50,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chat_prefix_tree", chat.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_extra(table(spark, sf_dir, "conversations")))
+
+
+from tendril.llm import topk  # noqa: E402
+
+
+@query("op9_exact_top_k", topk.oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
