@@ -58,3 +58,11 @@ from tendril.llm import topk  # noqa: E402
 @query("op9_exact_top_k", topk.oracle())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+from tendril.llm import secrets  # noqa: E402
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
