@@ -66,3 +66,11 @@ from tendril.llm import secrets  # noqa: E402
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+from tendril.llm import decontaminate  # noqa: E402
+
+
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
