@@ -74,3 +74,12 @@ from tendril.llm import decontaminate  # noqa: E402
 @query("op7_benchmark_leaks")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+from tendril.llm import language  # noqa: E402
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
