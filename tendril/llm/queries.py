@@ -96,3 +96,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fm_index_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(table(spark, sf_dir, "documents"))
+
+
+from tendril.llm import jaccard  # noqa: E402
+
+
+@query("op5_chosen_path_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(table(spark, sf_dir, "documents"))
