@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,30 @@ def verify(d: np.ndarray, i: np.ndarray, doc: np.ndarray, item: np.ndarray, data
     return out
 
 
+def passes_of(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
+    """The items in groups of about PASS_BYTES; the driver and each executor hold one group at a time."""
+    rows = keep_columns(benchmark, item=key, text=text).filter(F.col("item").isNotNull() & (F.octet_length("text") >= Q)).distinct()
+    rows = rows.withColumn("item", F.col("item").cast("bigint"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // PASS_BYTES))
+    for k in range(n):
+        some = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
+        if some:
+            yield Items.of([(r[0], r[1]) for r in some])
+
+
+def found_in(texts: pa.Array, items: Items) -> tuple[list, np.ndarray]:
+    """What ``verify`` returns for a column of texts, and the offsets of the texts."""
+    data, offsets = text_buffer(texts)
+    d, i = hits(data, offsets, items)
+    if not len(d):
+        return [], offsets
+    doc = np.searchsorted(offsets, d, "right") - 1
+    item = np.searchsorted(items.offsets, i, "right") - 1
+    kept = banded(d, i, doc, item, items)
+    return verify(d[kept], i[kept], doc[kept], item[kept], data, offsets, items), offsets
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, start, end, edits): one row per document row and item of which a window occurs in it.
 
@@ -167,44 +192,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     most about PASS_BYTES a pass; documents are read once a pass and never shuffled.
     """
     plain = keep_columns(docs, key=key, text=text)
-    rows = keep_columns(benchmark, item=item_key, text=item_text).filter(F.col("item").isNotNull() & (F.octet_length("text") >= Q)).distinct()
-    rows = rows.withColumn("item", F.col("item").cast("bigint"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // PASS_BYTES))
     schema = T.StructType([plain.schema["key"], *T.StructType.fromDDL("item_id bigint, start bigint, end bigint, edits int").fields])
-    found = None
-    for n in range(passes):
-        some = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n).orderBy("item", "text").collect()
-        one = one_pass(plain, [(r[0], r[1]) for r in some], schema)
-        found = one if found is None else found.unionAll(one)
+
+    def one(items: Items) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, offsets = found_in(batch.column(1), shared.value)
+                if found:
+                    row, item, start, end, edits = (np.array(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row)), pa.array(shared.value.ids[item]), pa.array(start - offsets[row]), pa.array(end - offsets[row]), pa.array(edits.astype(np.int32))], names=schema.names
+                    )
+
+        return plain.mapInArrow(run, schema)
+
+    parts = [one(items) for items in passes_of(benchmark, item_key, item_text)]
+    found = reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
     return found.withColumnRenamed("key", key)
 
 
-def one_pass(plain: DataFrame, rows: list[tuple[int, str]], schema: T.StructType) -> DataFrame:
-    if not rows:
-        return plain.sparkSession.createDataFrame([], schema)
-    shared = plain.sparkSession.sparkContext.broadcast(Items.of(rows))
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item occurs, with all their columns; no shuffle."""
+    schema, at = docs.schema, docs.columns.index(text)
+    for items in passes_of(benchmark, item_key, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            d, i = hits(data, offsets, items)
-            if not len(d):
-                continue
-            doc = np.searchsorted(offsets, d, "right") - 1
-            item = np.searchsorted(items.offsets, i, "right") - 1
-            kept = banded(d, i, doc, item, items)
-            found = verify(d[kept], i[kept], doc[kept], item[kept], data, offsets, items)
-            if found:
-                row, item, start, end, edits = (np.array(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(items.ids[item]), pa.array(start - offsets[row]), pa.array(end - offsets[row]), pa.array(edits.astype(np.int32))], names=schema.names
-                )
-
-    return plain.mapInArrow(run, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without a leak. Rows with a null key cannot be told apart and stay."""
-    return docs.join(leaks(docs, benchmark, key).select(key).distinct(), key, "left_anti").select(*docs.columns)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[f[0] for f in found_in(batch.column(at), shared.value)[0]]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

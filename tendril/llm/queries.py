@@ -104,3 +104,8 @@ from tendril.llm import jaccard  # noqa: E402
 @query("op5_chosen_path_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(table(spark, sf_dir, "documents"))
+
+
+import corpus_pipeline  # noqa: E402
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
