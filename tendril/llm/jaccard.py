@@ -349,5 +349,6 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the least key stays, once."""
     found = near_duplicates(docs, key, text).filter("first").select(F.col("doc").alias("_doc"), F.col("row").alias("_row")).distinct()
-    marked = docs.withColumn("_doc", F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LAST))).withColumn("_row", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    return marked.join(found, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*[f"`{c}`" for c in docs.columns])
+    ident = [F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LAST)).alias("_doc"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_row")]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *ident)
+    return marked.join(found, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select("whole.*")

@@ -68,8 +68,9 @@ class Index:
 
     def statistics(self, text: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of ``text`` at ``ends``: length of the longest match that ends there, at most
-        ``cap``, and the interval of the suffixes that begin with it."""
+        ``cap``, and the interval of the suffixes that begin with it. Symbols unknown to the shard, and 0, match nothing."""
         n = len(ends)
+        text = np.where(text < len(self.count) - 1, text, 0)
         length = np.zeros(n, np.int64)
         low, high = np.zeros(n, np.int64), np.full(n, self.size, np.int64)
         live = np.arange(n)
@@ -78,7 +79,7 @@ class Index:
             both = self.wavelets.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
             both += np.tile(self.count[symbol], 2)
             a, b = both[: len(live)], both[len(live) :]
-            fine = a < b
+            fine = (a < b) & (symbol > 0)
             live = live[fine]
             if not len(live):
                 break

@@ -57,11 +57,11 @@ def spans_of(df: DataFrame, text: str, pattern: str, quick: str, kind: int, out:
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_assign``, ``_access`` and ``_hex``; an assignment stays if its value has 12 characters."""
-    df = spans_of(df, text, ASSIGN, ASSIGN_KEY + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", 0, "_assign")
-    df = df.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE))
-    df = spans_of(df, text, ACCESS, ACCESS, 1, "_access")
-    return spans_of(df, text, HEX, HEX, 2, "_hex")
+    """Adds ``assign``, ``access`` and ``hex``; an assignment stays if its value has 12 characters."""
+    df = spans_of(df, text, ASSIGN, ASSIGN_KEY + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", 0, "assign")
+    df = df.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE))
+    df = spans_of(df, text, ACCESS, ACCESS, 1, "access")
+    return spans_of(df, text, HEX, HEX, 2, "hex")
 
 
 def place(token: Column, at: Column) -> Column:
@@ -109,7 +109,7 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
     some = docs.select(F.col(f"`{text}`").alias("text")).filter("text is not null")
     some = some.withColumn("_order", F.xxhash64("text")).orderBy("_order").limit(documents).drop("_order")
     based = with_base(some)
-    spans = based.select(F.explode(F.concat("_assign", "_access", "_hex")).alias("s")).select("s.kind", "s.value")
+    spans = based.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select("s.kind", "s.value")
     values = spans.select(F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value")).alias("token"), F.lit(True).alias("random"))
     digests = spark.range(made).select(F.explode(F.array(
         F.rtrim(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), F.lit("=")),
@@ -122,25 +122,26 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", least: float = 20.0, mean: float = 0.6) -> DataFrame:
-    """``docs`` with ``_assign``, ``_access``, ``_hex`` and ``_markov``: spans (start, kind, end, value) in code points.
+    """(whole, text, assign, access, hex, markov) of every row: the row itself and its spans.
 
-    A candidate of 20 characters or more that touches no fixed-pattern span is a secret if random strings
-    explain it better than ordinary identifiers: by ``least`` nats in all and ``mean`` a character pair.
-    Null text is empty and has no spans. Rows never meet; only the bigram counts are shuffled.
+    A span is (start, kind, end, value) in code points. A candidate of 20 characters or more that touches
+    no fixed-pattern span is a secret if random strings explain it better than ordinary identifiers: by
+    ``least`` nats in all and ``mean`` a character pair. Null text is empty and has no spans. Rows never
+    meet; only the bigram counts are shuffled.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     model = train(labelled(docs, text) if samples is None else samples)
-    df = with_base(df, "_text")
-    df = spans_of(df, "_text", CANDIDATE, r"[A-Za-z0-9+/_=-]{20}", 3, "_candidates")
-    base = F.concat("_assign", "_access", "_hex")
-    free = F.filter("_candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    df = df.withColumn("_free", F.when(F.size("_candidates") > 0, free).otherwise(F.col("_candidates"))).withColumn("_ratios", model.scalar())
+    df = with_base(df)
+    df = spans_of(df, "text", CANDIDATE, r"[A-Za-z0-9+/_=-]{20}", 3, "candidates")
+    base = F.concat("assign", "access", "hex")
+    free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    df = df.withColumn("free", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates"))).withColumn("ratios", model.scalar())
 
     def sure(c: Column) -> Column:
-        total = F.aggregate(bigrams(c["value"]), F.lit(0.0), lambda s, code: s + F.coalesce(F.get(F.col("_ratios"), code), F.lit(0.0)))
+        total = F.aggregate(bigrams(c["value"]), F.lit(0.0), lambda s, code: s + F.coalesce(F.get(F.col("ratios"), code), F.lit(0.0)))
         return (total >= least) & (total >= mean * (F.length(c["value"]) - 1))
 
-    return df.withColumn("_markov", F.filter("_free", sure)).drop("_free", "_candidates", "_ratios")
+    return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios")
 
 
 def listed(spans: Column) -> Column:
@@ -151,26 +152,27 @@ def listed(spans: Column) -> Column:
 
 def digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     found = scan(docs)
-    base = F.concat("_assign", "_access", "_hex")
+    base = F.concat("assign", "access", "hex")
     size = lambda c: F.size(c).cast("bigint")
     return found.select(
-        key, size("_assign").alias("n_assign"), size("_access").alias("n_access"), size("_hex").alias("n_hex"),
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, F.col("_markov"))).alias("spans"),
-        size("_markov").alias("n_markov"),
+        F.col(f"whole.`{key}`").alias(key), size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, F.col("markov"))).alias("spans"),
+        size("markov").alias("n_markov"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mask; overlapping spans share one. Other columns and rows stay."""
     found = scan(docs, text=text)
-    spans = F.sort_array(F.concat("_assign", "_access", "_hex", "_markov"))
+    spans = F.sort_array(F.concat("assign", "access", "hex", "markov"))
 
     def step(done: Column, s: Column) -> Column:
         ahead = s["start"] >= done["at"]
-        more = F.concat(F.substring(F.col("_text"), done["at"] + 1, s["start"] - done["at"]), F.lit(MASK))
+        more = F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(MASK))
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(ahead, F.concat(done["out"], more)).otherwise(done["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substring(F.col("_text"), d["at"] + 1, F.length("_text"))))
-    touched = F.size(F.concat("_assign", "_access", "_hex", "_markov")) > 0
-    return found.withColumn(text, F.when(touched, whole).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
+    touched = F.size(F.concat("assign", "access", "hex", "markov")) > 0
+    own = lambda c: F.col(f"whole.`{c}`")
+    return found.select(*[(F.when(touched, whole).otherwise(own(c)) if c == text else own(c)).alias(c) for c in docs.columns])
