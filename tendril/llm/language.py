@@ -214,5 +214,6 @@ def known_language(docs: DataFrame, least: float = 0.4, text: str = "text") -> D
             own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=schema.names)
             yield own.filter(pa.array((names != UNKNOWN) & (scores >= least)))
 
-    marked = docs.select("*", has_letter(docs[f"`{text}`"]).alias("_letter"))
+    free = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    marked = docs.select("*", has_letter(F.col(f"`{text}`")).alias(free))
     return marked.mapInArrow(run, schema)

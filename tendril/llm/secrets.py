@@ -6,7 +6,7 @@ counts give the models, a lookup per bigram gives the log-likelihood ratio of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which equal starts are listed, and what they match.
@@ -80,22 +80,27 @@ def bigrams(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), code)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> DataFrame:
+def train(samples: DataFrame, weight: float = 20.0) -> DataFrame:
     """One row with ``ratios``: for each pair code log P(next | first, random) - log P(next | first, ordinary).
 
-    ``samples`` (token, random boolean) are the labelled strings. The counts of all of them are summed up
-    before they meet: the model has the square of the alphabet as its size whatever their number.
+    ``samples`` (token, random boolean) are the labelled strings. What follows a character is mixed with
+    what follows any, which counts as ``weight`` observations; that in turn with all characters alike. The
+    counts of all samples are summed up before they meet: the model has the square of the alphabet as its
+    size whatever their number.
     """
     size = len(ALPHABET)
     seen = samples.filter("token is not null and random is not null").select("random", F.explode(bigrams(F.col("token"))).alias("code")).filter("code is not null")
     counts = seen.groupBy("code").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
-    all_codes = samples.sparkSession.range(size * size).select(F.col("id").cast("int").alias("code"))
-    full = all_codes.join(counts, "code", "left").select("code", F.floor(F.col("code") / size).alias("a"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
-    rows = full.groupBy("a").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"), F.collect_list(F.struct("code", "r", "o")).alias("each"))
-    share = lambda n, total: F.log((n + smoothing) / (total + smoothing * size))
-    ratio = rows.select("rs", "os", F.explode("each").alias("e")).select(F.col("e.code").alias("code"), (share(F.col("e.r"), F.col("rs")) - share(F.col("e.o"), F.col("os"))).alias("ratio"))
-    ordered = F.sort_array(F.collect_list(F.struct("code", "ratio")))
-    return ratio.agg(F.transform(ordered, lambda x: x["ratio"]).alias("ratios"))
+    codes = samples.sparkSession.range(size * size).select(F.col("id").cast("int").alias("code"))
+    full = codes.join(counts, "code", "left").select("code", F.floor(F.col("code") / size).alias("a"), (F.col("code") % size).alias("b"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
+
+    def share(n: str) -> Column:
+        first, second = (F.sum(n).over(Window.partitionBy(x)) for x in ("a", "b"))
+        any_first = (second + 1) / (F.sum(n).over(Window.partitionBy()) + size)
+        return F.log((F.col(n) + weight * any_first) / (first + weight))
+
+    ratio = full.select("code", (share("r") - share("o")).alias("ratio"))
+    return ratio.agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
 
 
 def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made: int = 5_000) -> DataFrame:
