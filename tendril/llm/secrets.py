@@ -18,7 +18,10 @@ KINDS = ["assign", "access", "hex", "markov"]
 LEAST_VALUE = 12
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_CANDIDATE = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
+#: Different characters that a secret has at least; rulers such as ``=====`` are none.
+DIFFERENT = 8
 WORD = r"[A-Za-z0-9_-]{8,}"
 CHUNK = 256
 MASK = "[secret]"
@@ -107,12 +110,14 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
     """(token, random): labelled strings for ``train``.
 
     Random: the values of fixed-pattern matches, and ``made`` digests in base64, hexadecimal and upper
-    case. Ordinary: words of eight characters or more outside those matches. From the texts of at
-    most ``documents`` documents, those with the least hash of their text: the bound of the sample.
+    case. Ordinary: words outside those matches of eight characters or more, and fewer than a candidate has. From the texts of about
+    ``documents`` documents, the bound of the sample: all if there are no more, else those whose hash (of the
+    row, so that copies do not go together) is below that share. No text is shuffled for it.
     """
     spark = docs.sparkSession
-    some = docs.select(F.col(f"`{text}`").alias("text")).filter("text is not null")
-    some = some.withColumn("_order", F.xxhash64("text")).orderBy("_order").limit(documents).drop("_order")
+    share = min(1.0, documents / max(1, docs.count()))
+    below = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) <= min(int(share * 2.0**63) * 2 - 2**63, 2**63 - 1)
+    some = docs.filter(below if share < 1 else F.lit(True)).select(F.col(f"`{text}`").alias("text")).filter("text is not null")
     based = with_base(some)
     spans = based.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select("s.kind", "s.value")
     values = spans.select(F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value")).alias("token"), F.lit(True).alias("random"))
@@ -122,7 +127,8 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
         F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("u"), F.col("id").cast("string")), 256))), "[+/=]", "")),
     )).alias("token"), F.lit(True).alias("random"))
     cleared = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = some.select(F.explode(F.regexp_extract_all(cleared, F.lit(WORD), 0)).alias("token")).select("token", F.lit(False).alias("random"))
+    words = some.select(F.explode(F.regexp_extract_all(cleared, F.lit(WORD), 0)).alias("token")).filter(F.length("token") < LEAST_CANDIDATE)
+    words = words.select("token", F.lit(False).alias("random"))
     return values.unionByName(digests).unionByName(words)
 
 
@@ -137,14 +143,15 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     model = train(labelled(docs, text) if samples is None else samples)
     df = with_base(df)
-    df = spans_of(df, "text", CANDIDATE, r"[A-Za-z0-9+/_=-]{20}", 3, "candidates")
+    df = spans_of(df, "text", CANDIDATE, CANDIDATE, 3, "candidates")
     base = F.concat("assign", "access", "hex")
     free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     df = df.withColumn("free", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates"))).withColumn("ratios", model.scalar())
 
     def sure(c: Column) -> Column:
         total = F.aggregate(bigrams(c["value"]), F.lit(0.0), lambda s, code: s + F.coalesce(F.get(F.col("ratios"), code), F.lit(0.0)))
-        return (total >= least) & (total >= mean * (F.length(c["value"]) - 1))
+        varied = F.size(F.array_distinct(F.split(c["value"], ""))) >= DIFFERENT
+        return varied & (total >= least) & (total >= mean * (F.length(c["value"]) - 1))
 
     return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios")
 
