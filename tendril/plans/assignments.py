@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tendril import vocab
@@ -275,3 +276,33 @@ def edit_move_vertices(spark, d):
     to = g.vertices.filter(F.col("node_type") == vocab.TIP).select("graph_id", "v", "x", "y", (F.col("z") + 1).alias("z"))
     out = E.apply(g, E.move_vertices(g, to, 0))
     return graph.edge_lengths(out.points).groupBy("graph_id").agg(F.round(F.sum("length"), 3).alias("length"))
+
+
+CHAINS = """WITH o AS (SELECT o_custkey AS c, o_orderkey % 7 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+    ways AS (SELECT c, r, y, coalesce(lag(y) OVER (PARTITION BY c ORDER BY r), 0) AS before FROM o)
+    SELECT c AS graph_id, 1::BIGINT AS e, (2 * r - k)::INTEGER AS ord, r - k / 2.0::DOUBLE AS x, CASE k WHEN 0 THEN y WHEN 1 THEN (y + before) / 2.0::DOUBLE ELSE before END::DOUBLE AS y
+    FROM ways, (VALUES (0), (1), (2)) t(k) WHERE k < 2 OR r = 1
+    """
+
+
+@query("edit_contract_chains", CHAINS)
+def edit_contract_chains(spark, d):
+    """The orders of a customer as a chain of branching nodes, each with a side tip: without the tips
+    the chain is one edge with the points of all."""
+    each = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("graph_id"), F.row_number().over(each).cast("bigint").alias("r"), (F.col("o_orderkey") % 7).cast("double").alias("y"),
+        F.coalesce(F.lag(F.col("o_orderkey") % 7).over(each), F.lit(0)).cast("double").alias("before"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"),
+    )
+    o = materialize(o, "chains")
+    side = F.lit(1 << 40)
+    node = lambda v, x, y, kind: o.select("graph_id", v.alias("v"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(0.0).alias("z"), kind.alias("node_type"))
+    r, zero = F.col("r"), F.lit(0).cast("bigint")
+    verts = node(r, r, F.col("y"), F.when(r == F.col("n"), vocab.TIP).otherwise(vocab.BRANCH)).unionAll(node(r + side, r, F.col("y") + 1, F.lit(vocab.TIP))).unionAll(node(zero, zero, zero, F.lit(vocab.ROOT)).distinct())
+    edges = o.select("graph_id", r.alias("e"), (r - 1).alias("src"), r.alias("dst")).unionAll(o.select("graph_id", (r + side).alias("e"), r.alias("src"), (r + side).alias("dst")))
+    line = o.select("graph_id", "r", F.col("y"), F.col("before"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord"))
+    points = line.select("graph_id", r.alias("e"), "ord", (r - 1 + F.col("ord") / 2).cast("double").alias("x"), (F.col("before") + (F.col("y") - F.col("before")) * F.col("ord") / 2).alias("y"), F.lit(0.0).alias("z"))
+    points = points.unionAll(line.filter("ord < 2").select("graph_id", (r + side).alias("e"), "ord", r.cast("double"), F.col("y") + F.col("ord"), F.lit(0.0)))
+    g = E.Graph(*(materialize(x, "chains") for x in (verts, edges, points)))
+    out = E.apply(g, E.delete(g, g.vertices.filter(F.col("v") > side).select("graph_id", "v"), None, 0))
+    return out.points.select("graph_id", "e", "ord", "x", "y")

@@ -1,6 +1,7 @@
 """Statistics, rules, edits, labels, comparison and files on hand-worked fixtures."""
 
 import math
+import random
 import struct
 
 import numpy as np
@@ -227,3 +228,53 @@ def test_roots_follow_a_moving_blob(spark):
     root = spark.createDataFrame([("f", 1, 3, 3, 0)], "field_id string, id int, x int, y int, z int")
     got = propagate_roots(img, root, 2, (2, 2, 0), (2, 1, 0)).orderBy("t").collect()
     assert [(r.x, r.y) for r in got] == [(3, 3), (4, 3), (5, 3)]
+
+
+def chain_graph(spark, n, ring=False, seed=3):
+    """A root, n branching nodes with a side tip each, a tip; edges in random directions with shuffled ids."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(1, 10 * n + 20), n + 1)
+    flips = [rng.random() < 0.5 for _ in ids]
+    verts = [("g", 0, 0.0, 0.0, 0.0, vocab.ROOT)] + [("g", i, float(i), 0.0, 0.0, vocab.BRANCH) for i in range(1, n + 1)] + [("g", n + 1, n + 1.0, 0.0, 0.0, vocab.TIP)]
+    edges, points = [], []
+    for i, (e, f) in enumerate(zip(ids, flips)):
+        a, b = (i + 1, i) if f else (i, i + 1)
+        if ring and i in (0, n):
+            continue
+        edges.append(("g", e, a, b))
+        points += [("g", e, k, a + (b - a) * k / 2, 0.0, 0.0) for k in range(3)]
+    for i in range(1, n + 1):
+        verts.append(("g", 10_000 + i, float(i), 1.0, 0.0, vocab.TIP))
+        edges.append(("g", 100_000 + i, i, 10_000 + i))
+        points += [("g", 100_000 + i, k, float(i), float(k), 0.0) for k in range(2)]
+    if ring:
+        edges.append(("g", 200_000, n, 1))
+        points += [("g", 200_000, 0, float(n), 0.0, 0.0), ("g", 200_000, 1, 1.0, 0.0, 0.0)]
+    g = edits.Graph(
+        spark.createDataFrame(verts, "graph_id string, v bigint, x double, y double, z double, node_type string"),
+        spark.createDataFrame(edges, "graph_id string, e bigint, src bigint, dst bigint"),
+        spark.createDataFrame(points, "graph_id string, e bigint, ord int, x double, y double, z double"),
+    )
+    return g, ids
+
+
+@pytest.mark.parametrize("n", [1, 3, 300])
+def test_chains_become_one_edge(spark, n):
+    g, ids = chain_graph(spark, n)
+    out = edits.apply(g, edits.delete(g, g.vertices.filter("v > 10000"), None, 0))
+    assert {r.v for r in out.vertices.collect()} == {0, n + 1}
+    (edge,) = out.edges.collect()
+    first, last = (0, n + 1) if ids[0] < ids[-1] else (n + 1, 0)
+    assert (edge.e, edge.src, edge.dst) == (min(ids), first, last)
+    line = [(r.ord, r.x) for r in out.points.orderBy("ord").collect()]
+    assert line == [(k, k / 2 if first == 0 else n + 1 - k / 2) for k in range(2 * n + 3)]
+
+
+def test_ring_keeps_its_highest_node(spark):
+    g, _ = chain_graph(spark, 6, ring=True)
+    out = edits.apply(g, edits.delete(g, g.vertices.filter("v > 10000"), None, 0))
+    assert {r.v for r in out.vertices.collect()} == {0, 6, 7}
+    (edge,) = out.edges.collect()
+    assert (edge.src, edge.dst) == (6, 6)
+    xs = [r.x for r in out.points.orderBy("ord").collect()]
+    assert xs[0] == xs[-1] == 6.0 and len(xs) == 12 and set(xs) == {k / 2 for k in range(2, 13)}
