@@ -285,13 +285,10 @@ def best_shift(scores: DataFrame, reference: DataFrame, keys: list[str], thresho
 def deconvolve(image: DataFrame, kernel: DataFrame, rounds: int = 10, step: float = 1.0) -> DataFrame:
     """Projected Landweber iterations: ``f <- max(0, f + step * K'(g - K f))``.
 
-    ``kernel(dx, dy, dz, w)`` is small, checked, and normalised to sum 1; a convolution hands
-    each voxel's weighted value to its neighbours and sums there.
+    ``kernel(dx, dy, dz, w)`` is a parameter and goes to every task as one value, normalised to sum 1; a
+    convolution hands each voxel's weighted value to its neighbours and sums there.
     """
     key = ["field_id", "t", *POS]
-    cells = kernel.limit(100_001).count()
-    if cells > 100_000:
-        raise ValueError("kernel too large")
     total = kernel.agg(F.sum("w")).scalar()
     shape = kernel.agg(F.collect_list(F.struct("dx", "dy", "dz", "w"))).scalar()
 

@@ -6,12 +6,14 @@ adaptive skew join can split a hub node's rows. The side keyed by vertex id is u
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril import vocab
 from tendril.functions.ordered import neighbours
-from tendril.session import materialize, max_iterations_exceeded
+from tendril.session import materialize
 
 VKEY = ["graph_id", "v"]
 SMALL = 1_000_000  # links a single task can hold without harm
@@ -73,7 +75,7 @@ def sum_of_squares(*cols: str) -> Column:
     return total
 
 
-def orient(vertices: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def orient(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Breadth-first orientation away from the root nodes.
 
     ``(graph_id, v, parent, parent_edge, depth, base_count, base_v)``: ``base_count`` is the
@@ -97,7 +99,7 @@ def orient(vertices: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> Da
         "roots",
     )
     levels = [front]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = adj.join(front.withColumnRenamed("v", "a"), ["graph_id", "a"]).filter(
             F.col("parent_edge").isNull() | (F.col("e") != F.col("parent_edge"))
         )
@@ -122,7 +124,6 @@ def orient(vertices: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> Da
         if front.isEmpty():
             return _union(levels)
         levels.append(front)
-    raise max_iterations_exceeded("orient", max_depth)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -218,7 +219,7 @@ def until_branching(oriented: DataFrame, vertices: DataFrame, targets: DataFrame
             return _union(parts)
 
 
-def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``(id, component)`` for every id in ``pairs``; the component is its least id.
 
     Alternates two contraction steps: neighbours above a vertex are linked to the least
@@ -234,7 +235,7 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
     # Stored aggregates let the adaptive join split a hub's rows; small graphs need no split.
     keep = (lambda df, tag: df) if links.count() < SMALL else materialize
     mark = None
-    for _ in range(max_rounds):
+    while True:
         around = links.select(F.col("hi").alias("u"), F.col("lo").alias("w")).unionByName(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("w"))
         )
@@ -258,7 +259,6 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
                 "id", F.coalesce("component", "id").alias("component")
             )
         mark = seen
-    raise max_iterations_exceeded("components", max_rounds)
 
 
 def filament_components(vertices: DataFrame, edges: DataFrame, location: str = vocab.FILAMENT_LOCATION) -> DataFrame:
@@ -278,7 +278,7 @@ def filament_components(vertices: DataFrame, edges: DataFrame, location: str = v
     return inside.join(linked, VKEY, "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """Edges ``e`` of the minimum spanning forest of ``edges(e, a, b, w)``; ties by ``e``.
 
     Each round every tree picks its lightest outgoing edge and the picked edges are
@@ -286,7 +286,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     live = materialize(edges.select("e", F.col("a").alias("ca"), F.col("b").alias("cb"), "w").filter("ca <> cb"), "live")
     chosen: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         if live.isEmpty():
             break
         offers = live.select(F.col("ca").alias("c"), "w", "e", "ca", "cb").unionByName(
@@ -356,7 +356,7 @@ def cliques(pairs: DataFrame, size: int, a: str = "a", b: str = "b") -> DataFram
     return grown
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(source, v, dist, pred)`` over undirected ``edges(a, b, w)`` with weights >= 0.
 
     Rounds of relaxation from the vertices whose distance just fell; ties keep the lower
@@ -369,7 +369,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
         sources.select("source", F.col("source").alias("v"), F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("pred")), "best"
     )
     front = best
-    for _ in range(max_rounds):
+    while True:
         offer = (
             front.join(arcs.withColumnRenamed("a", "v"), "v")
             .groupBy("source", F.col("b").alias("v"))
@@ -388,4 +388,3 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
         front = merged.filter("fell").drop("fell")
         if front.isEmpty():
             return best
-    raise max_iterations_exceeded("shortest_paths", max_rounds)

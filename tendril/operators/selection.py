@@ -80,10 +80,16 @@ def subgraph(vertices: DataFrame, edges: DataFrame, chosen: DataFrame) -> tuple[
     return vertices.join(keep, list(VKEY), "left_semi"), lines
 
 
-def merge_graphs(graphs: list[DataFrame], steps: list[int], key: str) -> DataFrame:
-    """One table from a graph per step: the step is stamped on and ids are made unique by it."""
-    out = None
-    for df, t in zip(graphs, steps):
-        part = df.withColumn("t", F.lit(t)).withColumn(key, F.col(key) * vocab.MAX_STEPS + t)
+def merge_graphs(graphs: list[DataFrame], steps: list[int], key: str, ends: tuple[str, ...] = ()) -> DataFrame:
+    """One table from a graph per step: the step is stamped on and ids are made unique by it.
+
+    ``ends`` are the columns that hold ids of another table (``src`` and ``dst`` of edges) and change alike; pass the
+    same steps for both tables.
+    """
+    if len(set(steps)) < len(steps) or min(steps, default=0) < 0:
+        raise ValueError("steps must be different and not negative")
+    width, out = max(vocab.MAX_STEPS, max(steps, default=0) + 1), None
+    for df, t in zip(graphs, steps, strict=True):
+        part = df.withColumn("t", F.lit(t)).withColumns({c: F.col(c) * width + t for c in (key, *ends)})
         out = part if out is None else out.unionByName(part)
     return out

@@ -52,7 +52,7 @@ def exact_matching_by_score(spark, d):
 @query("iterative_matching")
 def iterative_matching(spark, d):
     left, right = halves(spark, d)
-    return X.iterative_matching(left, right, 0.1, rounds=3, scale=10.0)[1]
+    return X.iterative_matching(left, right, 0.1, scale=10.0)[1]
 
 
 @query(

@@ -121,17 +121,17 @@ def points(verts: DataFrame, lines: DataFrame) -> DataFrame:
 
 # The same derivation as common table expressions, for the SQL counterparts.
 SQL = f"""
-sc_orders AS (
+sc_orders AS MATERIALIZED (
   SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) - {FIRST_YEAR} AS INT) AS t, dayofyear(o_orderdate) AS d,
          c_custkey, c_acctbal, n_name, n_regionkey
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-sc_items AS (
+sc_items AS MATERIALIZED (
   SELECT l_orderkey, l_linenumber, sum(l_quantity) AS qty, max(l_discount) AS disc, max(l_tax) AS tax
   FROM lineitem GROUP BY l_orderkey, l_linenumber),
-sc_base AS (
+sc_base AS MATERIALIZED (
   SELECT n_name, n_regionkey, c_custkey, c_acctbal, t, count(*) AS n_orders, max(o_totalprice) AS top
   FROM sc_orders GROUP BY ALL),
-vertices AS (
+vertices AS MATERIALIZED (
   SELECT DISTINCT n_name AS graph_id, CAST(t * 4 AS BIGINT) AS v, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, t,
          CAST(n_regionkey + 1 AS INT) AS gc, 'ROOT_NODE' AS node_type, 1 AS object_id, 1 AS match_id, 'NONBULBOUS' AS bulbous
   FROM sc_base
@@ -152,7 +152,7 @@ vertices AS (
          c_acctbal / 100 + d / 100.0::DOUBLE + disc * 10, 1 + tax * 100, t, CAST(n_regionkey + 1 AS INT), 'TIP_NODE',
          CAST(c_custkey + 4 AS INT), 1, 'NONBULBOUS'
   FROM sc_items JOIN sc_orders ON l_orderkey = o_orderkey),
-edges AS (
+edges AS MATERIALIZED (
   SELECT n_name AS graph_id, CAST((c_custkey * 128 + t) * 4 + 1 AS BIGINT) AS e, CAST(t * 4 AS BIGINT) AS src,
          CAST((c_custkey * 128 + t) * 4 + 1 AS BIGINT) AS dst, t, CAST(c_custkey + 4 AS INT) AS object_id FROM sc_base
   UNION ALL
@@ -162,7 +162,7 @@ edges AS (
   SELECT n_name, CAST((o_orderkey * 8 + l_linenumber) * 4 + 3 AS BIGINT), CAST(o_orderkey * 4 + 2 AS BIGINT),
          CAST((o_orderkey * 8 + l_linenumber) * 4 + 3 AS BIGINT), t, CAST(c_custkey + 4 AS INT)
   FROM sc_items JOIN sc_orders ON l_orderkey = o_orderkey),
-points AS (
+points AS MATERIALIZED (
   SELECT e.graph_id, e.e, 0 AS ord, a.x, a.y, a.z FROM edges e JOIN vertices a ON a.graph_id = e.graph_id AND a.v = e.src
   UNION ALL
   SELECT e.graph_id, e.e, 1, (a.x + b.x) / 2, (a.y + b.y) / 2 + 0.5::DOUBLE, (a.z + b.z) / 2

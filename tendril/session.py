@@ -7,20 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+_LOCAL_SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
-    """A session with the settings the engine expects (UTC, AQE, skew handling)."""
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the settings the engine expects (UTC, AQE, skew handling).
+
+    Master, memory and the number of shuffle partitions are the submitter's, unless given here.
+    """
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "12g")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        SparkSession.builder.master(master)
-        .appName("tendril")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder.appName("tendril")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -44,8 +51,8 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tendril-")
-    return _LOCAL_SCRATCH[app]
+        _LOCAL_SCRATCH[app] = tempfile.TemporaryDirectory(prefix="tendril-", ignore_cleanup_errors=True)  # goes with the process
+    return _LOCAL_SCRATCH[app].name
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -58,7 +65,3 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tendril/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def max_iterations_exceeded(what: str, limit: int) -> RuntimeError:
-    return RuntimeError(f"{what} did not converge within {limit} rounds")

@@ -94,7 +94,7 @@ def read_mesh_text(spark: SparkSession, folder: str, content: str | None = None)
 def lattice_size(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, nx, ny, nz)`` declared by lattice files."""
     m = r"define Lattice (\d+) (\d+) (\d+)"
-    text = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
+    text = F.decode("content", "ISO-8859-1")  # a header has any length; the first match ends the search
     return _binary(spark, folder, "am").select("path", *[F.regexp_extract(text, m, i + 1).cast("int").alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
 
 
