@@ -61,9 +61,19 @@ def centre_tracks(spark, d):
     return T.centre_tracks(bases(spark, d), 10.0).select("graph_id", "t", "id", "track")
 
 
-@query("greedy_links")
+@query(
+    "greedy_links",
+    "WITH RECURSIVE" + BASES.removeprefix("WITH") + f""",
+    pairs AS MATERIALIZED (SELECT a.graph_id, a.t, a.v AS l_id, b.v AS r_id, {DIST} AS dist FROM bases a JOIN bases b ON a.graph_id = b.graph_id AND b.t = a.t + 1 AND {DIST} < 20),
+    won(graph_id, t, l_id, r_id, dist) USING KEY (graph_id, t, l_id) AS (
+      SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY graph_id, t, l_id ORDER BY dist, r_id) = 1 AND row_number() OVER (PARTITION BY graph_id, t, r_id ORDER BY dist, l_id) = 1
+      UNION SELECT p.* FROM pairs p ANTI JOIN recurring.won l ON l.graph_id = p.graph_id AND l.t = p.t AND l.l_id = p.l_id ANTI JOIN recurring.won r ON r.graph_id = p.graph_id AND r.t = p.t AND r.r_id = p.r_id
+      WHERE EXISTS (SELECT 1 FROM won) QUALIFY row_number() OVER (PARTITION BY p.graph_id, p.t, p.l_id ORDER BY p.dist, p.r_id) = 1 AND row_number() OVER (PARTITION BY p.graph_id, p.t, p.r_id ORDER BY p.dist, p.l_id) = 1)
+    SELECT graph_id, t, l_id, r_id, round(dist, 6) AS dist FROM won
+    """,
+)
 def greedy_links(spark, d):
-    return T.step_links(bases(spark, d), 20.0)
+    return T.step_links(bases(spark, d), 20.0).withColumn("dist", F.round("dist", 6))
 
 
 @query("object_tracks")
@@ -298,11 +308,23 @@ def threshold_clusters(spark, d):
     return G.threshold_clusters(e, 1500.0)
 
 
-@query("shortest_paths")
+@query(
+    "shortest_paths",
+    """
+    WITH RECURSIVE o AS (SELECT o_custkey * 100000 AS a, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS b, o_totalprice, o_orderpriority FROM orders),
+    e AS (SELECT a, b, min(o_totalprice) AS w FROM o GROUP BY 1, 2), arcs AS MATERIALIZED (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
+    src AS (SELECT DISTINCT max((o_totalprice, a))[2] AS source FROM o GROUP BY o_orderpriority),
+    best(source, v, dist) USING KEY (source, v) AS (
+      SELECT source, source, 0.0::DOUBLE FROM src
+      UNION SELECT n.* FROM (SELECT t.source, arcs.b AS v, min(t.dist + arcs.w) AS dist FROM best t JOIN arcs ON arcs.a = t.v GROUP BY 1, 2) n
+      LEFT JOIN recurring.best r ON r.source = n.source AND r.v = n.v WHERE r.dist IS NULL OR n.dist < r.dist)
+    SELECT source, v, round(dist, 4) AS dist FROM best
+    """,
+)
 def shortest_paths(spark, d):
     """Cheapest chains of orders from each order priority to every customer and day."""
     o = table(spark, d, "orders")
-    code = lambda kind, c: F.abs(F.xxhash64(F.lit(kind), c)).cast("bigint")
-    e = o.select(code("c", F.col("o_custkey")).alias("a"), code("d", F.to_date("o_orderdate")).alias("b"), F.col("o_totalprice").alias("w"))
-    top = o.select(code("c", F.col("o_custkey")).alias("k"), "o_orderpriority", "o_totalprice").groupBy("o_orderpriority").agg(F.max_by("k", F.struct("o_totalprice", "k")).alias("source"))
-    return G.shortest_paths(e.groupBy("a", "b").agg(F.min("w").alias("w")), top.select("source").distinct())
+    customer, day = F.col("o_custkey") * 100_000, F.unix_date(F.to_date("o_orderdate")).cast("bigint")  # no day number is as high
+    e = o.select(customer.alias("a"), day.alias("b"), F.col("o_totalprice").alias("w"))
+    top = o.select(customer.alias("k"), "o_orderpriority", "o_totalprice").groupBy("o_orderpriority").agg(F.max_by("k", F.struct("o_totalprice", "k")).alias("source"))
+    return G.shortest_paths(e.groupBy("a", "b").agg(F.min("w").alias("w")), top.select("source").distinct()).select("source", "v", F.round("dist", 4).alias("dist"))

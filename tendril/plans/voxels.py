@@ -263,19 +263,47 @@ def template_correlation(spark, d):
     return V.correlate(tmpl, img, ["t", "k"], (0, 1, 2)).select("t", F.col("k").alias("x"), "s_y", "s_z", "n", F.round("corr", 6).alias("corr"))
 
 
-@query("best_template_shift")
+@query(
+    "best_template_shift",
+    NCC + """, ref AS (SELECT t, x, value AS grey0 FROM voxels WHERE y = 3 AND z = 6),
+    ok AS (SELECT ncc.*, row_number() OVER (PARTITION BY t, x ORDER BY round(c, 12) DESC, s_y * s_y + s_z * s_z DESC, s_z, s_y) AS place FROM ncc JOIN ref USING (t, x) WHERE grey > 0.75 * grey0 AND grey < 1.25 * grey0 AND c > 0)
+    SELECT t, x AS k, 0 AS s_x, CAST(s_y AS INT) AS s_y, CAST(s_z AS INT) AS s_z, round(c, 6) AS corr FROM ok WHERE place = 1""",
+)
 def best_template_shift(spark, d):
     tmpl, img = ncc_inputs(spark, d)
     ref = tmpl.filter("y = 0 AND z = 0").select("t", "k", F.col("value").alias("grey0"))
-    return V.best_shift(V.correlate(tmpl, img, ["t", "k"], (0, 1, 2)), ref, ["t", "k"], 0.0)
+    scores = V.correlate(tmpl, img, ["t", "k"], (0, 1, 2)).withColumn("corr", F.round("corr", 12))  # equal but for rounding is equal
+    return V.best_shift(scores, ref, ["t", "k"], 0.0).withColumn("corr", F.round("corr", 6))
 
 
-@query("deconvolved_field")
+@query(
+    "deconvolved_field",
+    WITH + """,
+    raw AS (SELECT CAST(r_regionkey - 2 AS INT) AS dz, exp(-0.5 * (r_regionkey - 2) * (r_regionkey - 2)) AS w FROM region),
+    k AS (SELECT dz, w / (SELECT sum(w) FROM raw) AS w FROM raw),
+    f0 AS MATERIALIZED (SELECT t, x, y, z, CAST(value AS DOUBLE) AS g, CAST(value AS DOUBLE) AS f FROM voxels),
+    f1 AS MATERIALIZED (
+      SELECT a.t, a.x, a.y, a.z, g, greatest(0, f + coalesce(b, 0)) AS f FROM f0 a LEFT JOIN (
+        SELECT r.t, r.x, r.y, r.z - k.dz AS z, sum(r.r * k.w) AS b FROM (
+          SELECT c.t, c.x, c.y, c.z, g - coalesce(b, 0) AS r FROM f0 c LEFT JOIN (
+            SELECT m.t, m.x, m.y, m.z + k.dz AS z, sum(m.f * k.w) AS b FROM f0 m CROSS JOIN k GROUP BY ALL) USING (t, x, y, z)) r CROSS JOIN k GROUP BY ALL) USING (t, x, y, z)),
+    f2 AS MATERIALIZED (
+      SELECT a.t, a.x, a.y, a.z, g, greatest(0, f + coalesce(b, 0)) AS f FROM f1 a LEFT JOIN (
+        SELECT r.t, r.x, r.y, r.z - k.dz AS z, sum(r.r * k.w) AS b FROM (
+          SELECT c.t, c.x, c.y, c.z, g - coalesce(b, 0) AS r FROM f1 c LEFT JOIN (
+            SELECT m.t, m.x, m.y, m.z + k.dz AS z, sum(m.f * k.w) AS b FROM f1 m CROSS JOIN k GROUP BY ALL) USING (t, x, y, z)) r CROSS JOIN k GROUP BY ALL) USING (t, x, y, z)),
+    f3 AS MATERIALIZED (
+      SELECT a.t, a.x, a.y, a.z, g, greatest(0, f + coalesce(b, 0)) AS f FROM f2 a LEFT JOIN (
+        SELECT r.t, r.x, r.y, r.z - k.dz AS z, sum(r.r * k.w) AS b FROM (
+          SELECT c.t, c.x, c.y, c.z, g - coalesce(b, 0) AS r FROM f2 c LEFT JOIN (
+            SELECT m.t, m.x, m.y, m.z + k.dz AS z, sum(m.f * k.w) AS b FROM f2 m CROSS JOIN k GROUP BY ALL) USING (t, x, y, z)) r CROSS JOIN k GROUP BY ALL) USING (t, x, y, z))
+    SELECT t, x, y, z, round(f, 6) AS value FROM f3""",
+)
 def deconvolved_field(spark, d):
     k = table(spark, d, "region").select(
         F.lit(0).alias("dx"), F.lit(0).alias("dy"), (F.col("r_regionkey") - 2).cast("int").alias("dz"), F.exp(-0.5 * (F.col("r_regionkey") - 2) * (F.col("r_regionkey") - 2)).alias("w")
     )
-    return V.deconvolve(voxels(spark, d), k, rounds=3).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return V.deconvolve(voxels(spark, d), k, rounds=3).select("t", "x", "y", "z", F.round("value", 6).alias("value"))
 
 
 @query(
