@@ -409,9 +409,24 @@ UNION ALL SELECT graph_id, 'node', CAST(v AS VARCHAR), -1, 'no time label', 'del
 """
 
 
-@query("rule_tip_bases", REC + R_TIPS)
-def rule_tip_bases(spark, d):
+# A copy with violations: bulbous bases turned into branching nodes, every fifth order into a base.
+PLANTED = REC.replace("""oriented AS (""", """planted AS (SELECT * REPLACE (CASE WHEN node_type = 'BASE_NODE' AND bulbous = 'BULBOUS' THEN 'BRANCHING_NODE' WHEN node_type = 'BRANCHING_NODE' AND (v // 4) % 5 = 0 THEN 'BASE_NODE' ELSE node_type END AS node_type) FROM vertices),
+oriented AS (""")
+PLANTED = PLANTED[: PLANTED.index("oriented AS (")] + PLANTED[PLANTED.index("oriented AS (") :].replace("vertices", "planted")
+
+
+def planted(spark, d):
     v, e = graph_of(spark, d)
+    kind = F.col("node_type")
+    lost = (kind == vocab.BASE) & (F.col("bulbous") == "BULBOUS")
+    second = (kind == vocab.BRANCH) & (F.floor(F.col("v") / 4) % 5 == 0)
+    return materialize(v.withColumn("node_type", F.when(lost, vocab.BRANCH).when(second, vocab.BASE).otherwise(kind)), "planted"), e
+
+
+@query("rule_tip_bases", PLANTED + R_TIPS.replace("vertices", "planted"))
+def rule_tip_bases(spark, d):
+    """The rule on a copy with tips that have no base or two."""
+    v, e = planted(spark, d)
     return C.tips_without_single_base(v, G.orient(v, e))
 
 
@@ -422,16 +437,17 @@ def rule_incident_edges(spark, d):
 
 @query(
     "rule_filament_size",
-    REC + f"""
+    PLANTED + f"""
     SELECT b.graph_id, 'filopodium' AS component, {NAME} AS id, b.t, 'too few elements' AS problem, 'check if tip, base and one edge exist' AS solution
-    FROM vertices b LEFT JOIN (SELECT graph_id, base_v, count(*) AS n FROM oriented WHERE base_count = 1 GROUP BY 1, 2) k ON k.graph_id = b.graph_id AND k.base_v = b.v
+    FROM planted b LEFT JOIN (SELECT graph_id, base_v, count(*) AS n FROM oriented WHERE base_count = 1 GROUP BY 1, 2) k ON k.graph_id = b.graph_id AND k.base_v = b.v
     WHERE node_type = 'BASE_NODE' AND coalesce(n, 0) < 2
     UNION ALL SELECT v.graph_id, 'tip', CAST(v.v AS VARCHAR), v.t, 'more or less than one base', 'add or remove base'
-    FROM vertices v LEFT JOIN oriented o ON o.graph_id = v.graph_id AND o.v = v.v WHERE node_type = 'TIP_NODE' AND coalesce(base_count, 0) <> 1
+    FROM planted v LEFT JOIN oriented o ON o.graph_id = v.graph_id AND o.v = v.v WHERE node_type = 'TIP_NODE' AND coalesce(base_count, 0) <> 1
     """,
 )
 def rule_filament_size(spark, d):
-    v, e = graph_of(spark, d)
+    """The rule on the copy with violations."""
+    v, e = planted(spark, d)
     return C.filament_size(v, e, G.orient(v, e))
 
 
