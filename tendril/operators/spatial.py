@@ -25,17 +25,32 @@ from tendril.session import materialize
 FAN = 64
 AXES = ("x", "y", "z")
 _BITS = 16
+#: Intervals of an axis with about as many points each; inside one a cell is its linear share.
+_CUTS = 64
 
 
-def _curve_code(box) -> Column:
-    """Position on a z-order curve: the bits of the scaled coordinates, interleaved."""
-    top = (1 << _BITS) - 1
-    cells = []
-    for a in AXES:
-        low, span = box[f"l{a}"], box[f"h{a}"] - box[f"l{a}"]
-        scaled = f"cast(floor(({a} - {low!r}D) / {span!r}D * {top}) as bigint)" if span > 0 else "0L"
-        cells.append(f"shiftleft(shiftright({scaled}, i) & 1L, 3 * i + {len(cells)})")
-    return F.expr(f"aggregate(sequence(0, {_BITS - 1}), 0L, (acc, i) -> acc | {' | '.join(cells)})")
+def _cell(axis: str, cuts: list[float]) -> str:
+    """Place of a coordinate: its interval between the cuts, found by halving, and its share of that interval.
+
+    One far point stretches the interval it lies in and leaves the order of all others as it is.
+    """
+    fine = (1 << _BITS) // _CUTS - 1
+
+    def among(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            low, span = cuts[lo], cuts[hi] - cuts[lo]
+            return f"({lo}L * {fine + 1}L + cast(greatest(0D, least(1D, ({axis} - {low!r}D) / {span!r}D)) * {fine} as bigint))"
+        mid = (lo + hi) // 2
+        return f"(CASE WHEN {axis} < {cuts[mid]!r}D THEN {among(lo, mid)} ELSE {among(mid, hi)} END)"
+
+    return among(0, len(cuts) - 1) if len(cuts) > 1 else "0L"
+
+
+def _curve_code(cuts: dict[str, list[float]]) -> tuple[Column, Column]:
+    """(``_cells``, position on a z-order curve): the bits of the places on the axes, interleaved."""
+    cells = F.expr("named_struct(" + ", ".join(f"'{a}', {_cell(a, cuts[a])}" for a in AXES) + ")")
+    bits = " | ".join(f"shiftleft(shiftright(_cells.{a}, i) & 1L, 3 * i + {k})" for k, a in enumerate(AXES))
+    return cells, F.expr(f"aggregate(sequence(0, {_BITS - 1}), 0L, (acc, i) -> acc | {bits})")
 
 
 class TileTree:
@@ -44,11 +59,10 @@ class TileTree:
     def __init__(self, points: DataFrame, prefix: str):
         self.prefix = prefix
         src = points.select("g", "id", *[F.col(a).cast("double").alias(a) for a in AXES])
-        box = src.agg(
-            *[F.coalesce(F.min(a), F.lit(0.0)).alias(f"l{a}") for a in AXES],
-            *[F.coalesce(F.max(a), F.lit(0.0)).alias(f"h{a}") for a in AXES],
-        ).first()
-        coded = src.withColumn("_code", _curve_code(box))
+        shares = [k / _CUTS for k in range(_CUTS + 1)]
+        found = src.agg(*[F.percentile_approx(a, shares, 10_000).alias(a) for a in AXES]).first()
+        cells, code = _curve_code({a: sorted(set(found[a] or [])) for a in AXES})
+        coded = src.withColumn("_cells", cells).withColumn("_code", code).drop("_cells")
         self.points = ranked(coded, [F.col("g"), F.col("_code"), F.col("id")], "_rank").select(
             "g", "id", *AXES, F.floor(F.col("_rank") / FAN).cast("bigint").alias("tile")
         )

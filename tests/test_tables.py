@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tendril import schema, vocab
 from tendril.functions import labels as L
 from tendril.functions import ordered as O
-from tendril.operators import compare, consistency, dictionary, edits, fields, graph, placement, statistics, tracking
+from tendril.operators import compare, consistency, dictionary, edits, fields, graph, placement, spatial, statistics, tracking
 from tendril.operators.skew import ranked, skew_join
 from tendril.sources import files
 from tendril.streaming.steps import append_steps
@@ -278,3 +278,26 @@ def test_ring_keeps_its_highest_node(spark):
     assert (edge.src, edge.dst) == (6, 6)
     xs = [r.x for r in out.points.orderBy("ord").collect()]
     assert xs[0] == xs[-1] == 6.0 and len(xs) == 12 and set(xs) == {k / 2 for k in range(2, 13)}
+
+
+def test_one_far_point_leaves_tiles_as_they_are(spark):
+    """Tile order by quantiles: pairs of tiles in reach grow little with one outlier, and results stay exact."""
+    rng = np.random.default_rng(5)
+    xyz = rng.uniform(0, 100, (4000, 3))
+    rows = [(0, i, *map(float, p)) for i, p in enumerate(xyz)]
+    far = [(0, 99_999, 1e12, -1e12, 1e12)]
+    schema_ = "g int, id bigint, x double, y double, z double"
+
+    def tiles(rows):
+        tree = spatial.TileTree(spark.createDataFrame(rows, schema_), "t")
+        return [r.asDict() for r in tree.leaves().collect()]
+
+    def near(leaves, radius=3.0):
+        gap = lambda a, b: sum(max(0.0, a[f"l{c}"] - b[f"h{c}"], b[f"l{c}"] - a[f"h{c}"]) ** 2 for c in "xyz")
+        return sum(gap(a, b) < radius**2 for a in leaves for b in leaves)
+
+    assert near(tiles(rows + far)) <= 1.5 * near(tiles(rows))
+    df = spark.createDataFrame(rows + far, schema_)
+    found = {(r.l_id, r.r_id) for r in spatial.near_pairs(df, df, 3.0).collect()}
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(d2 < 9.0))} | {(99_999, 99_999)}
