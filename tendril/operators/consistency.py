@@ -86,11 +86,13 @@ def repeated_match_ids(vertices: DataFrame) -> DataFrame:
 
 
 def object_gaps(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Objects whose bases are not one for each step of their life (an object without any base included), and
+    objects with several match ids."""
     real = L.is_real_object("object_id")
     bases = vertices.filter(real & (F.col("node_type") == vocab.BASE)).groupBy("graph_id", "object_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("match_id") != vocab.UNASSIGNED_ID, F.col("match_id"))).alias("n_match")
     )
-    d = bases.join(life_time(vertices, edges), ["graph_id", "object_id"])
+    d = life_time(vertices, edges).filter(real).join(bases, ["graph_id", "object_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     name = L.object_label("object_id")
     gaps = _row(d.filter("life <> n"), "filopodium", name, F.lit(-1), "has a gap", "fill gap or isolate")
     return gaps.unionByName(_row(d.filter("n_match > 1"), "filopodia", name, F.lit(-1), "contains multiple match IDs", "isolate"))

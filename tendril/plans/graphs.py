@@ -481,15 +481,26 @@ def rule_bulbous_gaps(spark, d):
     return C.bulbous_gaps(scene.vertices(spark, d))
 
 
+R_STEPS = """
+SELECT e.graph_id, 'edge' AS component, CAST(e.e AS VARCHAR) AS id, -1 AS t, 'connects two timesteps' AS problem, 'delete' AS solution
+FROM edges e JOIN vertices a ON a.graph_id = e.graph_id AND a.v = e.src JOIN vertices b ON b.graph_id = e.graph_id AND b.v = e.dst WHERE a.t IS DISTINCT FROM b.t
+UNION ALL SELECT graph_id, 'node', CAST(v AS VARCHAR), -1, 'no time label', 'delete' FROM vertices WHERE t IS NULL
+"""
+R_SIZE = f"""
+SELECT b.graph_id, 'filopodium' AS component, {NAME} AS id, b.t, 'too few elements' AS problem, 'check if tip, base and one edge exist' AS solution
+FROM vertices b LEFT JOIN (SELECT graph_id, base_v, count(*) AS n FROM oriented WHERE base_count = 1 GROUP BY 1, 2) k ON k.graph_id = b.graph_id AND k.base_v = b.v WHERE node_type = 'BASE_NODE' AND coalesce(n, 0) < 2
+UNION ALL SELECT v.graph_id, 'tip', CAST(v.v AS VARCHAR), v.t, 'more or less than one base', 'add or remove base'
+FROM vertices v LEFT JOIN oriented o ON o.graph_id = v.graph_id AND o.v = v.v WHERE node_type = 'TIP_NODE' AND coalesce(base_count, 0) <> 1
+"""
+
+
 @query(
     "violation_summary",
-    REC + f""" SELECT component, problem, solution, count(*) AS n FROM ({R_TIPS} UNION ALL {R_DEGREE} UNION ALL {R_MATCH} UNION ALL {R_GAPS} UNION ALL {R_BULB}
-    UNION ALL SELECT b.graph_id, 'filopodium', {NAME}, b.t, 'too few elements', 'check if tip, base and one edge exist' FROM vertices b
-      LEFT JOIN (SELECT graph_id, base_v, count(*) AS n FROM oriented WHERE base_count = 1 GROUP BY 1, 2) k ON k.graph_id = b.graph_id AND k.base_v = b.v WHERE node_type = 'BASE_NODE' AND coalesce(n, 0) < 2
-    ) GROUP BY ALL""",
+    PLANTED + " SELECT component, problem, solution, count(*) AS n FROM (" + " UNION ALL ".join([R_TIPS, R_DEGREE, R_MATCH, R_GAPS, R_BULB, R_STEPS, R_SIZE]).replace("vertices", "planted") + ") GROUP BY ALL",
 )
 def violation_summary(spark, d):
-    v, e = graph_of(spark, d)
+    """All rules on the copy with violations."""
+    v, e = planted(spark, d)
     return C.violations(v, e).groupBy("component", "problem", "solution").agg(F.count(F.lit(1)).alias("n"))
 
 
