@@ -232,3 +232,30 @@ def test_skeleton_of_a_bar_with_an_arm(spark):
     rows = costmap.skeleton(V, root).toPandas()
     assert rows.branch.nunique() == 2
     assert rows[rows.branch == 0].y.max() >= 14 and rows[rows.branch == 1].x.max() >= 22
+
+
+def test_augmentations_are_cheapest_at_every_size():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = rng.integers(1, 6, 2)
+        cost, some = rng.random((n, m)), rng.random((n, m)) < 0.6
+        if not some.any():
+            continue
+        i, j = np.nonzero(some)
+        left, right = np.unique(i, return_inverse=True)[1], np.unique(j, return_inverse=True)[1]
+        got = dict(enumerate(np.cumsum([a for a, _ in matching._augmentations(left, right, cost[i, j])]), 1))
+        pairs, best = list(zip(i.tolist(), j.tolist())), {}
+        for k in range(1, min(n, m) + 1):
+            for s in itertools.combinations(pairs, k):
+                if len({x for x, _ in s}) == k == len({y for _, y in s}):
+                    best[k] = min(best.get(k, np.inf), sum(cost[p] for p in s))
+        assert best.keys() == got.keys() and all(abs(best[k] - got[k]) < 1e-9 for k in best)
+
+
+def test_exact_matching_of_many_connected_points(spark):
+    """700 points in one connected part: a chain in which every point must move on by one place."""
+    n = 700
+    left = spark.createDataFrame([(0, i, 1.0 * i, 0.0, 0.0) for i in range(n)], "g bigint, id bigint, x double, y double, z double")
+    right = spark.createDataFrame([(0, i, i + 0.4, 0.0, 0.0) for i in range(n)], "g bigint, id bigint, x double, y double, z double")
+    got = matching.exact_matching(left, right, 0.7).toPandas()
+    assert len(got) == n and (got.l_id == got.r_id).all()
