@@ -109,23 +109,21 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: differences of prefix hashes, shifted by inverse powers."""
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(BASE)) -> np.ndarray:
+    """64-bit hash of each byte range: differences of prefix hashes, shifted by inverse powers of the odd base."""
     n = len(data) + 1
     with np.errstate(over="ignore"):
-        if len(_powers.get("up", ())) < n:
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            up = np.empty(n, np.uint64)
-            up[0], up[1:] = 1, BASE
-            down = np.empty(n, np.uint64)
-            down[0], down[1:] = 1, inverse
-            _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if base not in _powers or len(_powers[base][0]) < n:
+            up, down = (np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, down = _powers[base]
         prefix = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers["up"][: n - 1], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * _powers["down"][starts])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=prefix[1:])
+        return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
 def binaries(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:

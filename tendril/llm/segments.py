@@ -112,71 +112,160 @@ def cut(column: pa.Array, scheme: Scheme, census: bool = False) -> Iterator[tupl
         yield anchor, row[start] + lo, start - first[row[start]], held, flat, begin, end - begin
 
 
-def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> DataFrame:
-    """(anchor): those in several docs, or else those that occur several times."""
+def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
+    """Bit table of the anchors in several documents, or else of those that occur several times.
+
+    A task sends each anchor at most twice for a batch, as the leading 48 bits in sorted blobs by the first of
+    them; where a blob's range is put together, what stands there twice sets its bit. Two anchors that look
+    alike let a segment pass that the kernel then finds alone.
+    """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    expected = max(1, 2 * total // (scheme.width - scheme.gram + 2) // (5 if scheme.by_word else 1))
+    bits = int(np.clip(np.ceil(np.log2(2 * expected)), LEAST_BITS, MOST_BITS))
+    ranges = int(np.clip(np.ceil(np.log2(expected / (1 << 18))), 8, bits - 6))  # the first byte follows from the range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            for anchor, row, _, held, *_ in cut(batch.column(1), scheme, not other_docs):
-                if len(anchor):
-                    value = doc[row] if other_docs else held
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(value)], names=["anchor", "value"])
-
-    found = docs.select("doc", "text").mapInArrow(run, "anchor bigint, value bigint").groupBy("anchor")
-    if other_docs:
-        return found.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo < hi").select("anchor")
-    return found.agg(F.sum("value").alias("n")).filter("n > 1").select("anchor")
-
-
-def bit_table(anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors by their leading bits: a filter of bounded size."""
-    n = anchors.count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n) * 24)))))
-    slot = F.shiftrightunsigned("anchor", 64 - bits)
-    filled = anchors.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(anchor, %d) & 63 as int))" % (64 - bits)).alias("mask"))
-    rows = filled.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+            found = [(anchor >> np.uint64(16), row if other_docs else held) for anchor, row, _, held, *_ in cut(batch.column(0), scheme, not other_docs)]
+            key, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            if other_docs:
+                order = np.lexsort((other, key))
+                key, other = key[order], other[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+                key = key[new]
+            else:
+                key = np.sort(np.repeat(key, np.minimum(other, 2)))
+            few = np.ones(len(key), bool)
+            few[2:] = key[2:] != key[:-2]
+            key = key[few]
+            part = (key >> np.uint64(48 - ranges)).astype(np.int64)
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+            blob = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5]
+            ends = np.append(at, len(part))
+            # Byte by byte, not key by key: the leading bytes of sorted keys compress well.
+            planes = [blob[a:b].T.tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(planes, pa.binary())], names=["part", "keys"])
+
+    page = bits - ranges
+
+    def meet(table: pa.Table) -> pa.Table:
+        data, offsets = text_buffer(table.column("keys"))
+        key = np.zeros((len(data) // 5, 8), np.uint8)
+        for a, b in zip(offsets[:-1] // 5, offsets[1:] // 5, strict=True):
+            key[a:b, :5] = data[5 * a : 5 * b].reshape(5, -1).T
+        key = np.sort(key.view(np.uint64).reshape(-1))
+        own = np.zeros(1 << page, np.uint8)
+        own[(key[1:][key[1:] == key[:-1]] >> np.uint64(48 - bits)).astype(np.int64) & ((1 << page) - 1)] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    sent = docs.select("text").mapInArrow(run, "part bigint, keys binary")
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for r in sent.groupBy("part").applyInArrow(meet, "part bigint, bits binary").collect():
+        at = r.part << (page - 6)
+        table[at : at + (1 << (page - 6))] = np.frombuffer(r.bits, np.uint64)
+    return table
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Bits of numbers (column ``anchor``) by their leading bits: a filter of bounded size, packed by the executors."""
+    n = values.count()
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n) * 16)))))
+    page = min(bits, 18)
+
+    def pack(table: pa.Table) -> pa.Table:
+        anchor = table.column("anchor").to_numpy().view(np.uint64)
+        own = np.zeros(1 << page, np.uint8)
+        own[(anchor >> np.uint64(64 - bits)).astype(np.int64) & ((1 << page) - 1)] = 1
+        return pa.table({"page": table.column("page")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    paged = values.withColumn("page", F.expr(f"shiftrightunsigned(anchor, {64 - bits + page})") if bits > page else F.lit(0).cast("bigint"))
     table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    for r in paged.groupBy("page").applyInArrow(pack, "page bigint, bits binary").collect():
+        at = r.page << (page - 6)
+        table[at : at + (1 << (page - 6))] = np.frombuffer(r.bits, np.uint64)
     return table
 
 
-def occurrences(docs: DataFrame, scheme: Scheme, table: np.ndarray) -> DataFrame:
-    """(anchor, content, doc, row, start): segments whose anchor passes the table."""
+def passing(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Indices of the values whose bit is set."""
+    slot = values >> np.uint64(64 - int(np.log2(len(table)) + 6))
+    return np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+
+
+def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes by which the occurrences of a segment find what was told about it."""
+    return spans_hash(data, start, end), spans_hash(data, start, end, 0xD1B54A32D192ED03)
+
+
+def collapse(rows: pa.Table, other_docs: bool) -> pa.Table:
+    """Equal segments as one: the first occurrence, and in ``more`` the greatest doc or the number of occurrences."""
+    rows = rows.sort_by([(c, "ascending") for c in ("doc", "row", "start")])
+    first = [(c, "first") for c in ("anchor", "doc", "row", "start")]
+    grouped = pa.TableGroupBy(rows, "content", use_threads=False).aggregate([*first, ("more", "max" if other_docs else "sum")])
+    names = [c.removesuffix("_first").removesuffix("_max").removesuffix("_sum") for c in grouped.column_names]
+    return grouped.rename_columns(names).select(["anchor", "content", "doc", "row", "start", "more"])
+
+
+SEGMENT = "anchor bigint, content binary, doc bigint, row bigint, start bigint, more bigint"
+
+
+def occurrences(docs: DataFrame, scheme: Scheme, table: np.ndarray, other_docs: bool) -> DataFrame:
+    """SEGMENT rows: segments whose anchor passes the table, equal ones of a batch already as one."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        shift = np.uint64(64 - int(np.log2(len(table)) + 6))
         for batch in batches:
-            doc, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc, ident, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for anchor, row, start, _, data, begin, length in cut(batch.column(2), scheme):
-                slot = anchor >> shift
-                hit = np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                hit = passing(shared.value, anchor)
                 if len(hit):
-                    row = row[hit]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[hit].view(np.int64)), binaries(data, begin[hit], length[hit]), pa.array(doc[row]), pa.array(ident[row]), pa.array(start[hit])],
-                        names=["anchor", "content", "doc", "row", "start"],
-                    )
+                    row, zero = row[hit], np.zeros(len(hit), np.int64)
+                    found.append(
+                        pa.table({
+                            "anchor": anchor[hit].view(np.int64), "content": binaries(data, begin[hit], length[hit]), "doc": doc[row],
+                            "row": zero if other_docs else ident[row], "start": zero if other_docs else start[hit], "more": doc[row] if other_docs else zero + 1,
+                        })
+                    )
+            if found:
+                yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches()
+
+    return docs.select("doc", "row", "text").mapInArrow(run, SEGMENT)
+
+
+def places(docs: DataFrame, scheme: Scheme, anchors: np.ndarray, names: np.ndarray) -> DataFrame:
+    """(h1, h2, doc, row, start): all occurrences of the segments whose name passes the second table."""
+    shared = docs.sparkSession.sparkContext.broadcast((anchors, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, names = shared.value
+        for batch in batches:
+            doc, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for anchor, row, start, _, data, begin, length in cut(batch.column(2), scheme):
+                hit = passing(anchors, anchor)
+                h1, h2 = names_of(data, begin[hit], begin[hit] + length[hit])
+                told = passing(names, h1)
+                if len(told):
+                    row = row[hit[told]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[told].view(np.int64), h2[told].view(np.int64), doc[row], ident[row], start[hit[told]])], names=["h1", "h2", "doc", "row", "start"])
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "anchor bigint, content binary, doc bigint, row bigint, start bigint")
+    return docs.select("doc", "row", "text").mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, row bigint, start bigint")
 
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def resolve(distinct: DataFrame, scheme: Scheme, kernel: Kernel) -> DataFrame:
-    """(content, off, n, doc, row, start): the first occurrence of each window of each segment, in runs.
+def resolve(found: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool) -> DataFrame:
+    """(h1, h2, off, n, fd, fr, fs): the first occurrence of each window of each segment, in runs.
 
-    ``distinct`` has (anchor, content, doc, row, start): each segment with its first occurrence. Rows of an
-    anchor stand together in a partition and are taken in chunks; an anchor is never divided.
+    ``found`` has SEGMENT rows. Rows of an anchor stand together in a partition and are taken in chunks; an
+    anchor is never divided. Runs that remove nothing anywhere are left out.
     """
 
-    def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        rows = pa.Table.from_batches(tables).combine_chunks()
+    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = collapse(pa.Table.from_batches(batches), other_docs)
         data, offsets = text_buffer(rows.column("content"))
-        doc, row, start = (rows.column(c).to_numpy() for c in ("doc", "row", "start"))
+        doc, row, start, more = (rows.column(c).to_numpy() for c in ("doc", "row", "start", "more"))
         if scheme.by_word:
             at = np.flatnonzero(data == 32) + 1
             starts = np.concatenate([[0], at[:-1]])
@@ -188,22 +277,35 @@ def resolve(distinct: DataFrame, scheme: Scheme, kernel: Kernel) -> DataFrame:
         count = sizes - scheme.width + 1
         seg = np.repeat(np.arange(len(sizes)), count)
         off = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        order = np.lexsort((start[seg] + off, row[seg], doc[seg]))
+        place = 0 if other_docs else start[seg] + off
+        order = np.argsort(doc[seg], kind="stable") if other_docs else np.lexsort((place, row[seg], doc[seg]))
         rank = np.empty(len(seg), np.int64)
         rank[order] = np.arange(len(seg))
-        first = order[kernel(symbols, begins, sizes, count, rank)]
-        fd, fr, fs = doc[seg][first], row[seg][first], (start[seg] + off)[first]
+        if other_docs:
+            # A segment that its anchor has for itself has no others to be ordered among, and repeats within it are
+            # in its own document.
+            _, of, times = np.unique(rows.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
+            met = np.flatnonzero(times[of] > 1)
+            best, some = rank.copy(), times[of][seg] > 1
+            if len(met):
+                best[some] = kernel(symbols, begins[met], sizes[met], count[met], rank[some])
+        else:
+            best = kernel(symbols, begins, sizes, count, rank)
+        first = order[best]
+        fd, fr = doc[seg][first], row[seg][first]
+        fs = np.zeros(len(seg), np.int64) if other_docs else place[first]
+        step = 0 if other_docs else 1
         edge = np.ones(len(seg), bool)
-        edge[1:] = (seg[1:] != seg[:-1]) | (fd[1:] != fd[:-1]) | (fr[1:] != fr[:-1]) | (fs[1:] != fs[:-1] + 1)
+        edge[1:] = (seg[1:] != seg[:-1]) | (fd[1:] != fd[:-1]) | (fr[1:] != fr[:-1]) | (fs[1:] != fs[:-1] + step)
         a = np.flatnonzero(edge)
         n = np.diff(np.append(a, len(seg)))
         s = seg[a]
-        keep = rows.column("again").to_numpy(zero_copy_only=False)[s] | (fd[a] != doc[s]) | (fr[a] != row[s]) | (fs[a] != start[s] + off[a])
+        keep = (more[s] > doc[s]) | (fd[a] != doc[s]) if other_docs else (more[s] > 1) | (fd[a] != doc[s]) | (fr[a] != row[s]) | (fs[a] != start[s] + off[a])
         a, n, s = a[keep], n[keep], s[keep]
         if not len(a):
             return None
-        content = binaries(data, offsets[s], np.diff(offsets)[s])
-        return pa.RecordBatch.from_arrays([content, *(pa.array(x) for x in (off[a], n, fd[a], fr[a], fs[a]))], names=["content", "off", "n", "doc", "row", "start"])
+        names = names_of(data, offsets[s], offsets[s + 1])
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in names), *(pa.array(x) for x in (off[a], n, fd[a], fr[a], fs[a]))], names=["h1", "h2", "off", "n", "fd", "fr", "fs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -226,8 +328,8 @@ def resolve(distinct: DataFrame, scheme: Scheme, kernel: Kernel) -> DataFrame:
         if held and (done := solve(held)) is not None:
             yield done
 
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "content", "doc", "row", "start", "again").mapInArrow(run, "content binary, off bigint, n bigint, doc bigint, row bigint, start bigint")
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, "h1 bigint, h2 bigint, off bigint, n bigint, fd bigint, fr bigint, fs bigint")
 
 
 def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -243,31 +345,31 @@ def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, doc, row, text): null text is empty, a null key comes last; rows with equal keys go by a hash of the text."""
+    """(key, doc, row, text): null text is empty, a null key comes last.
+
+    row tells rows with the same key apart: a hash of the text, by which they are ordered; 0 where keys do not repeat.
+    """
     k, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(k.alias("key"), F.coalesce(k.cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(body).alias("row"), body.alias("text"))
+    repeated = not docs.groupBy(k).count().filter("count > 1").isEmpty()
+    row = F.xxhash64(body) if repeated else F.lit(0).cast("bigint")
+    return docs.select(k.alias("key"), F.coalesce(k.cast("bigint"), F.lit(LAST)).alias("doc"), row.alias("row"), body.alias("text"))
 
 
 def covered(docs: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool) -> DataFrame:
     """(doc, row, spans array of (start, end)): symbols that lie in a window which occurs earlier.
 
     Earlier means in a smaller doc (``other_docs``), or before in the order of doc, row and start. ``docs`` is
-    what ``numbered`` returns. Spans of a document may overlap.
+    what ``numbered`` returns. Spans of a document may overlap. Texts are read three times, which is cheaper than
+    to store their segments.
     """
-    twice = materialize(census(docs, scheme, other_docs), "anchors")
-    found = materialize(occurrences(docs, scheme, bit_table(twice)), "segments")
-    least = F.min(F.struct("doc", "row", "start")).alias("first")
-    again = (F.min("doc") < F.max("doc")) if other_docs else (F.count("*") > 1)
-    distinct = found.groupBy("content").agg(F.first("anchor").alias("anchor"), least, again.alias("again"))
-    first = resolve(distinct.select("anchor", "content", "first.*", "again"), scheme, kernel)
-    named = lambda df, c: df.withColumn("h1", F.xxhash64(c)).withColumn("h2", F.xxhash64(c, F.lit(7))).drop(c)
-    told = named(first, "content").select("h1", "h2", "off", "n", F.col("doc").alias("fd"), F.col("row").alias("fr"), F.col("start").alias("fs"))
-    own = named(found.select("content", "doc", "row", "start"), "content")
+    anchors = census(docs, scheme, other_docs)
+    told = materialize(resolve(occurrences(docs, scheme, anchors, other_docs), scheme, kernel, other_docs), "told")
+    own = places(docs, scheme, anchors, bit_table(told.select(F.col("h1").alias("anchor"))))
     earlier = F.col("fd") < F.col("doc") if other_docs else F.struct("fd", "fr", "fs") < F.struct("doc", "row", F.col("start") + F.col("off"))
     begin = F.col("start") + F.col("off")
     pairs = own.join(told, ["h1", "h2"]).filter(earlier)
     spans = pairs.select("doc", "row", F.struct(begin.alias("start"), (begin + F.col("n") + scheme.width - 1).alias("end")).alias("span"))
-    return spans.groupBy("doc", "row").agg(F.collect_set("span").alias("spans"))
+    return spans.groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))
 
 
 def without(docs: DataFrame, spans: DataFrame, kept: Callable, schema: T.StructType) -> DataFrame:
