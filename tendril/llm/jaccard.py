@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     are one class from the start and are never paired. Texts without words stand alone; null text has no words;
     a null key comes last and names no class.
     """
-    plain = numbered(docs, key, text)
+    plain = numbered(docs, key, text).withColumn("row", F.xxhash64("text"))  # one_each names rows alike
     found = materialize(sets(plain), "sets")
     identity = [F.col("size"), F.col("h1"), F.col("h2"), F.when(F.col("size") == 0, F.struct("doc", "row")).alias("alone")]
     least = F.min(F.struct("doc", "row")).alias("least")
