@@ -28,6 +28,8 @@ MOST = 64
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of segments that a kernel takes at once; whole anchors stay together.
 CHUNK = 1 << 20
+#: Bytes of whole documents that a task handles at once, whatever the batch.
+GROUP = 1 << 22
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
@@ -115,7 +117,7 @@ def cut(column: pa.Array, scheme: Scheme, census: bool = False) -> Iterator[tupl
 def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
     """Bit table of the anchors in several documents, or else of those that occur several times.
 
-    A task sends each anchor at most twice for a batch, as the leading 48 bits in sorted blobs by the first of
+    A task sends each anchor at most twice for a group of documents, as the leading 48 bits in sorted blobs by the first of
     them; where a blob's range is put together, what stands there twice sets its bit. Two anchors that look
     alike let a segment pass that the kernel then finds alone.
     """
@@ -125,8 +127,8 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
     ranges = int(np.clip(np.ceil(np.log2(expected / (1 << 18))), 8, bits - 6))  # the first byte follows from the range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(anchor >> np.uint64(16), row if other_docs else held) for anchor, row, _, held, *_ in cut(batch.column(0), scheme, not other_docs)]
+        for part in (b.slice(lo, hi - lo) for b in batches for lo, hi in row_groups(text_buffer(b.column(0))[1], GROUP)):
+            found = [(anchor >> np.uint64(16), row if other_docs else held) for anchor, row, _, held, *_ in cut(part.column(0), scheme, not other_docs)]
             key, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             if other_docs:
                 order = np.lexsort((other, key))
@@ -377,11 +379,12 @@ def without(docs: DataFrame, spans: DataFrame, kept: Callable, schema: T.StructT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            counts = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            flat = lists.flatten()
-            start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)) if len(flat) else (np.empty(0, np.int64),) * 2
-            yield kept(batch.column(0), batch.column(1), counts, start, end)
+            for lo, hi in row_groups(text_buffer(batch.column(1))[1], GROUP):
+                keys, texts, lists = batch.slice(lo, hi - lo).columns
+                counts = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+                flat = lists.flatten()
+                start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)) if len(flat) else (np.empty(0, np.int64),) * 2
+                yield kept(keys, texts, counts, start, end)
 
     joined = docs.join(spans, ["doc", "row"], "left").select("key", "text", "spans")
     return joined.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tendril.llm import segments
 from tendril.llm.common import gather, text_buffer
 
-WIDTH, GRAM = 50, 20
+WIDTH, GRAM = 50, 32
 #: Bytes of a shard, and of all shards that are merged at once.
 SHARD, MERGE = 1 << 18, 1 << 22
 
