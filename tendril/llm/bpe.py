@@ -23,8 +23,8 @@ from tendril.llm.common import gather, keep_columns, row_groups, text_buffer
 #: Fixed value: the split of text into words that belongs to this kind of vocabulary. White_Space is
 #: spelled out because the regex library's ``\s`` has four control characters more.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct words that a worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Distinct words that a worker remembers, for as long as it lives; beyond it the memory starts anew.
+MEMORY = 120_000
 CHARS = 1 << 20
 
 
@@ -220,10 +220,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """Returns (key, ids array<int>), one row per row of ``df``; null and empty text have no ids.
 
-    Special tokens written in a text become their own id. Rows never meet: no shuffle.
+    Special tokens written in a text become their own id. ``back`` adds ``decoded``, the text that the ids
+    stand for, as ``decode`` would. Rows never meet: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +235,15 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                 part = batch.slice(lo, hi - lo)
                 ids, counts = book.encode(["" if t is None else t for t in part.column(1).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["key", "ids"])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                yield pa.RecordBatch.from_arrays([*columns, book.decode(ids, ends)] if back else columns, names=schema.names)
 
     plain = keep_columns(df, key=key, text=text)
     kind = plain.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return plain.mapInArrow(run, schema).select(F.col("key").alias(key), "ids")
+    if back:
+        schema = schema.add("decoded", T.StringType())
+    return plain.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -261,7 +265,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token count and hashes of ids and of the text decoded from them, per row."""
-    coded = decode(encode(df, path, key, text), path)
+    coded = encode(df, path, key, text, back=True)
     return coded.select(
         key,
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -299,6 +299,7 @@ def test_tokens(spark, odd, nothing, real):
     texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id != 10_006}
     rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert len(rows) == docs.count()
+    assert sorted(bpe.encode(docs, PATH, back=True).collect()) == sorted(rows)
     for r in rows:
         if r.doc_id in texts:
             want = real.encode(texts[r.doc_id], add_special_tokens=False).ids
