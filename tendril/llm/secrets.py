@@ -132,20 +132,35 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
     return values.unionByName(digests).unionByName(words)
 
 
+def uncovered(c: Column, base: Column) -> Column:
+    """The parts of a candidate that no span of ``base`` (sorted) covers, as spans; the candidate itself if none touches it."""
+    touching = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    def add(out: Column, a: Column, b: Column) -> Column:
+        part = F.struct(a.alias("start"), c["kind"].alias("kind"), b.alias("end"), c["value"].substr(a - c["start"] + 1, b - a).alias("value"))
+        return F.when(a < b, F.array_append(out, part)).otherwise(out)
+
+    def step(done: Column, b: Column) -> Column:
+        return F.struct(F.greatest(done["at"], b["end"]).alias("at"), add(done["out"], done["at"], b["start"]).alias("out"))
+
+    start = F.struct(c["start"].alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    return F.aggregate(touching, start, step, lambda done: add(done["out"], done["at"], c["end"]))
+
+
 def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", least: float = 20.0, mean: float = 0.6) -> DataFrame:
     """(whole, text, assign, access, hex, markov) of every row: the row itself and its spans.
 
-    A span is (start, kind, end, value) in code points. A candidate of 20 characters or more that touches
-    no fixed-pattern span is a secret if random strings explain it better than ordinary identifiers: by
-    ``least`` nats in all and ``mean`` a character pair. Null text is empty and has no spans. Rows never
+    A span is (start, kind, end, value) in code points. Each part of a candidate of 20 characters or more that
+    no fixed-pattern span covers is a secret if random strings explain it better than ordinary identifiers: by
+    ``least`` nats in all and ``mean`` a character pair. Parts of any length are judged. Null text is empty and has no spans. Rows never
     meet; only the bigram counts are shuffled.
     """
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     model = train(labelled(docs, text) if samples is None else samples)
     df = with_base(df)
     df = spans_of(df, "text", CANDIDATE, CANDIDATE, 3, "candidates")
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    df = df.withColumn("_base", F.when(F.size("candidates") > 0, F.sort_array(F.concat("assign", "access", "hex"))))
+    free = F.flatten(F.transform("candidates", lambda c: uncovered(c, F.col("_base"))))
     df = df.withColumn("free", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates"))).withColumn("ratios", model.scalar())
 
     def sure(c: Column) -> Column:
@@ -153,7 +168,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
         varied = F.size(F.array_distinct(F.split(c["value"], ""))) >= DIFFERENT
         return varied & (total >= least) & (total >= mean * (F.length(c["value"]) - 1))
 
-    return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios")
+    return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios", "_base")
 
 
 def listed(spans: Column) -> Column:
