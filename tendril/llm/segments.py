@@ -28,8 +28,12 @@ MOST = 64
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of segments that a kernel takes at once; whole anchors stay together.
 CHUNK = 1 << 20
+#: Bytes of different segments from which an anchor is too frequent for one task.
+FREQUENT = CHUNK
 #: Bytes of whole documents that a task handles at once, whatever the batch.
 GROUP = 1 << 22
+#: Segments and windows of a batch that are held before equal ones become one.
+ROWS = 1 << 20
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
@@ -78,9 +82,20 @@ def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return flat, np.append(ends - lengths, len(flat)), row, np.bincount(row, minlength=len(offsets) - 1)
 
 
-def cut(column: pa.Array, scheme: Scheme, census: bool = False) -> Iterator[tuple]:
+def divided(start: np.ndarray, count: np.ndarray, anchor: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with an anchor in ``frequent`` (sorted leading 48 bits) as single windows; the fourth array tells which those are."""
+    if not len(frequent):
+        return start, count, anchor, np.zeros(len(start), bool)
+    key = anchor >> np.uint64(16)
+    alone = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+    times = np.where(alone, count, 1)
+    begin = np.repeat(start, times) + gather(np.zeros(len(times), np.int64), times)
+    return begin, np.repeat(np.where(alone, 1, count), times), np.repeat(anchor, times), np.repeat(alone, times)
+
+
+def cut(column: pa.Array, scheme: Scheme, census: bool = False, frequent: np.ndarray = np.empty(0, np.uint64)) -> Iterator[tuple]:
     """Segments of a column, for bounded parts of it: (anchor, row, start in its row, how often it holds its
-    anchor, bytes, from, length); the fourth only for the ``census``."""
+    anchor, bytes, from, length, whether it is a single window of a ``frequent`` anchor); the fourth only for the ``census``."""
     data, offsets = text_buffer(column)
     if not scheme.by_word:
         for lo, hi in slices(len(data)):
@@ -94,10 +109,10 @@ def cut(column: pa.Array, scheme: Scheme, census: bool = False) -> Iterator[tupl
             np.add.at(valid, a[some], 1)
             np.add.at(valid, b[some], -1)
             grams = rolling(part, scheme.gram)
-            start, count, anchor = runs(grams, scheme, np.cumsum(valid[:-1]) > 0)
+            start, count, anchor, alone = divided(*runs(grams, scheme, np.cumsum(valid[:-1]) > 0), frequent)
             row = np.searchsorted(offsets, start + lo, "right") - 1
             held = anchors_in(grams, start, count, anchor, scheme) if census else None
-            yield anchor, row, start + lo - offsets[row], held, part, start, count + scheme.width - 1
+            yield anchor, row, start + lo - offsets[row], held, part, start, count + scheme.width - 1, alone
         return
     for lo, hi in row_groups(offsets):
         flat, at, row, per_row = normal_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -107,19 +122,38 @@ def cut(column: pa.Array, scheme: Scheme, census: bool = False) -> Iterator[tupl
         hashes = spans_hash(flat, at[:-1], at[1:] - 1)
         valid = row[:n] == row[scheme.width - 1 :]
         grams = rolling(hashes, scheme.gram)
-        start, count, anchor = runs(grams, scheme, valid)
+        start, count, anchor, alone = divided(*runs(grams, scheme, valid), frequent)
         held = anchors_in(grams, start, count, anchor, scheme) if census else None
         first = np.cumsum(per_row) - per_row
         begin, end = at[start], at[start + count + scheme.width - 1]
-        yield anchor, row[start] + lo, start - first[row[start]], held, flat, begin, end - begin
+        yield anchor, row[start] + lo, start - first[row[start]], held, flat, begin, end - begin, alone
+
+
+def several(key: np.ndarray, content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with more than two different contents, and the bytes of these."""
+    _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[of] > 2)
+    some = some[np.lexsort((content[some], key[some]))]
+    key, content, length = key[some], content[some], length[some]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    key, first, times = np.unique(key[new], return_index=True, return_counts=True)
+    weight = np.add.reduceat(length[new], first) if len(first) else np.empty(0, np.int64)
+    return key[times > 2], weight[times > 2].astype(np.int64)
 
 
-def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
-    """Bit table of the anchors in several documents, or else of those that occur several times.
+CENSUS = ["part", "keys", "many", "weight"]
+
+
+def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bit table of the anchors in several documents, or else of those that occur several times; and the leading 48
+    bits of the frequent ones, sorted.
 
     A task sends each anchor at most twice for a group of documents, as the leading 48 bits in sorted blobs by the first of
     them; where a blob's range is put together, what stands there twice sets its bit. Two anchors that look
-    alike let a segment pass that the kernel then finds alone.
+    alike let a segment pass that the kernel then finds alone. An anchor with more than two different segments in a group
+    is sent with their bytes too; where these sums exceed FREQUENT it is frequent, so there are fewer
+    of them than FREQUENT goes into the text's segments.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = max(1, 2 * total // (scheme.width - scheme.gram + 2) // (5 if scheme.by_word else 1))
@@ -128,8 +162,14 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(lo, hi - lo) for b in batches for lo, hi in row_groups(text_buffer(b.column(0))[1], GROUP)):
-            found = [(anchor >> np.uint64(16), row if other_docs else held) for anchor, row, _, held, *_ in cut(part.column(0), scheme, not other_docs)]
-            key, other = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            found = [
+                (anchor >> np.uint64(16), row if other_docs else held, spans_hash(data, begin, begin + length), length)
+                for anchor, row, _, held, data, begin, length, _ in cut(part.column(0), scheme, not other_docs)
+            ]
+            if not found:
+                continue
+            key, other, content, length = (np.concatenate(x) for x in zip(*found, strict=True))
+            many, weight = several(key, content, length)
             if other_docs:
                 order = np.lexsort((other, key))
                 key, other = key[order], other[order]
@@ -141,13 +181,16 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
             few = np.ones(len(key), bool)
             few[2:] = key[2:] != key[:-2]
             key = key[few]
-            part = (key >> np.uint64(48 - ranges)).astype(np.int64)
+            part, crowd = ((k >> np.uint64(48 - ranges)).astype(np.int64) for k in (key, many))
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
             blob = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5]
             ends = np.append(at, len(part))
             # Byte by byte, not key by key: the leading bytes of sorted keys compress well.
             planes = [blob[a:b].T.tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(planes, pa.binary())], names=["part", "keys"])
+            # Rows of both kinds have their own: blobs of keys, or a frequent key and its bytes.
+            none, nothing = np.zeros(len(at), np.int64), pa.array([b""] * len(many), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(planes, pa.binary()), pa.array(none), pa.array(none)], names=CENSUS)
+            yield pa.RecordBatch.from_arrays([pa.array(crowd), nothing, pa.array(many.view(np.int64)), pa.array(weight)], names=CENSUS)
 
     page = bits - ranges
 
@@ -159,14 +202,19 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> np.ndarray:
         key = np.sort(key.view(np.uint64).reshape(-1))
         own = np.zeros(1 << page, np.uint8)
         own[(key[1:][key[1:] == key[:-1]] >> np.uint64(48 - bits)).astype(np.int64) & ((1 << page) - 1)] = 1
-        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+        weight = table.column("weight").to_numpy()
+        many, of = np.unique(table.column("many").to_numpy()[weight > 0].view(np.uint64), return_inverse=True)
+        many = many[np.bincount(of, weight[weight > 0], len(many)) > FREQUENT]
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary()), "frequent": pa.array([many.tobytes()], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(run, "part bigint, keys binary")
+    sent = docs.select("text").mapInArrow(run, "part bigint, keys binary, many bigint, weight bigint")
+    frequent = [np.empty(0, np.uint64)]
     table = np.zeros(1 << (bits - 6), np.uint64)
-    for r in sent.groupBy("part").applyInArrow(meet, "part bigint, bits binary").collect():
+    for r in sent.groupBy("part").applyInArrow(meet, "part bigint, bits binary, frequent binary").collect():
         at = r.part << (page - 6)
         table[at : at + (1 << (page - 6))] = np.frombuffer(r.bits, np.uint64)
-    return table
+        frequent.append(np.frombuffer(r.frequent, np.uint64))
+    return table, np.sort(np.concatenate(frequent))
 
 
 def bit_table(values: DataFrame) -> np.ndarray:
@@ -201,49 +249,70 @@ def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def collapse(rows: pa.Table, other_docs: bool) -> pa.Table:
-    """Equal segments as one: the first occurrence, and in ``more`` the greatest doc or the number of occurrences."""
+    """Equal segments (or windows) as one: the first occurrence, and in ``more`` the greatest doc or the number of occurrences."""
     rows = rows.sort_by([(c, "ascending") for c in ("doc", "row", "start")])
     first = [(c, "first") for c in ("anchor", "doc", "row", "start")]
-    grouped = pa.TableGroupBy(rows, "content", use_threads=False).aggregate([*first, ("more", "max" if other_docs else "sum")])
+    grouped = pa.TableGroupBy(rows, ["content", "alone"], use_threads=False).aggregate([*first, ("more", "max" if other_docs else "sum")])
     names = [c.removesuffix("_first").removesuffix("_max").removesuffix("_sum") for c in grouped.column_names]
-    return grouped.rename_columns(names).select(["anchor", "content", "doc", "row", "start", "more"])
+    return grouped.rename_columns(names).select(["anchor", "content", "doc", "row", "start", "more", "alone"])
+
 
+#: A segment; or, ``alone``, a window of a frequent anchor with the two hashes of its name as content, the first as anchor.
+SEGMENT = "anchor bigint, content binary, doc bigint, row bigint, start bigint, more bigint, alone boolean"
 
-SEGMENT = "anchor bigint, content binary, doc bigint, row bigint, start bigint, more bigint"
 
+def occurrences(docs: DataFrame, scheme: Scheme, table: tuple[np.ndarray, np.ndarray], other_docs: bool) -> DataFrame:
+    """SEGMENT rows: segments whose anchor passes the table, equal ones of a batch already as one.
 
-def occurrences(docs: DataFrame, scheme: Scheme, table: np.ndarray, other_docs: bool) -> DataFrame:
-    """SEGMENT rows: segments whose anchor passes the table, equal ones of a batch already as one."""
+    Segments of a frequent anchor go as windows, each to the partition of its own name: what surrounds a
+    frequent passage is spread over all tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, frequent = shared.value
         for batch in batches:
-            doc, ident, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            for anchor, row, start, _, data, begin, length in cut(batch.column(2), scheme):
-                hit = passing(shared.value, anchor)
-                if len(hit):
-                    row, zero = row[hit], np.zeros(len(hit), np.int64)
+            doc, ident, found, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
+            for anchor, row, start, _, data, begin, length, alone in cut(batch.column(2), scheme, frequent=frequent):
+                hit = passing(bits, anchor)
+                for single in (False, True):
+                    some = hit[alone[hit] == single]
+                    if not len(some):
+                        continue
+                    of, zero = row[some], np.zeros(len(some), np.int64)
+                    if single:
+                        h1, h2 = names_of(data, begin[some], begin[some] + length[some])
+                        own, content = h1, binaries(np.stack([h1, h2], 1).reshape(-1).view(np.uint8), 16 * np.arange(len(some)), zero + 16)
+                    else:
+                        own, content = anchor[some], binaries(data, begin[some], length[some])
                     found.append(
                         pa.table({
-                            "anchor": anchor[hit].view(np.int64), "content": binaries(data, begin[hit], length[hit]), "doc": doc[row],
-                            "row": zero if other_docs else ident[row], "start": zero if other_docs else start[hit], "more": doc[row] if other_docs else zero + 1,
+                            "anchor": own.view(np.int64), "content": content, "doc": doc[of], "row": zero if other_docs else ident[of],
+                            "start": zero if other_docs else start[some], "more": doc[of] if other_docs else zero + 1, "alone": np.full(len(some), single),
                         })
                     )
+                    held += len(some)
+                if held > ROWS:
+                    found = [collapse(pa.concat_tables(found), other_docs)]
+                    held = found[0].num_rows
+                    if held > ROWS // 2:
+                        yield from found[0].combine_chunks().to_batches()
+                        found, held = [], 0
             if found:
                 yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches()
 
     return docs.select("doc", "row", "text").mapInArrow(run, SEGMENT)
 
 
-def places(docs: DataFrame, scheme: Scheme, anchors: np.ndarray, names: np.ndarray) -> DataFrame:
+def places(docs: DataFrame, scheme: Scheme, anchors: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> DataFrame:
     """(h1, h2, doc, row, start): all occurrences of the segments whose name passes the second table."""
     shared = docs.sparkSession.sparkContext.broadcast((anchors, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, names = shared.value
+        (anchors, frequent), names = shared.value
         for batch in batches:
             doc, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for anchor, row, start, _, data, begin, length in cut(batch.column(2), scheme):
+            for anchor, row, start, _, data, begin, length, _ in cut(batch.column(2), scheme, frequent=frequent):
                 hit = passing(anchors, anchor)
                 h1, h2 = names_of(data, begin[hit], begin[hit] + length[hit])
                 told = passing(names, h1)
@@ -261,11 +330,27 @@ def resolve(found: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool)
     """(h1, h2, off, n, fd, fr, fs): the first occurrence of each window of each segment, in runs.
 
     ``found`` has SEGMENT rows. Rows of an anchor stand together in a partition and are taken in chunks; an
-    anchor is never divided. Runs that remove nothing anywhere are left out.
+    anchor is not divided here, as windows of frequent ones come by their own names. Of those the first occurrence is the
+    result itself. Runs that remove nothing anywhere are left out.
     """
+    names = ["h1", "h2", "off", "n", "fd", "fr", "fs"]
 
-    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def windows(rows: pa.Table) -> pa.RecordBatch | None:
+        doc, row, start, more = (rows.column(c).to_numpy() for c in ("doc", "row", "start", "more"))
+        keep = more > (doc if other_docs else 1)
+        if not keep.any():
+            return None
+        name = text_buffer(rows.column("content"))[0].view(np.int64).reshape(-1, 2)[keep]
+        zero = np.zeros(len(name), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (name[:, 0], name[:, 1], zero, zero + 1, doc[keep], row[keep], start[keep])], names=names)
+
+    def solve(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = collapse(pa.Table.from_batches(batches), other_docs)
+        for kind, own in ((windows, rows.filter(rows.column("alone"))), (segments, rows.filter(pa.compute.invert(rows.column("alone"))))):
+            if own.num_rows and (done := kind(own)) is not None:
+                yield done
+
+    def segments(rows: pa.Table) -> pa.RecordBatch | None:
         data, offsets = text_buffer(rows.column("content"))
         doc, row, start, more = (rows.column(c).to_numpy() for c in ("doc", "row", "start", "more"))
         if scheme.by_word:
@@ -306,8 +391,8 @@ def resolve(found: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool)
         a, n, s = a[keep], n[keep], s[keep]
         if not len(a):
             return None
-        names = names_of(data, offsets[s], offsets[s + 1])
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in names), *(pa.array(x) for x in (off[a], n, fd[a], fr[a], fs[a]))], names=["h1", "h2", "off", "n", "fd", "fr", "fs"])
+        own = names_of(data, offsets[s], offsets[s + 1])
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in own), *(pa.array(x) for x in (off[a], n, fd[a], fr[a], fs[a]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -315,20 +400,18 @@ def resolve(found: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool)
             anchor = batch.column(0).to_numpy()
             _, offsets = text_buffer(batch.column(1))
             if held and held[-1].column(0)[-1].as_py() != anchor[0] and size >= CHUNK:
-                if (done := solve(held)) is not None:
-                    yield done
+                yield from solve(held)
                 held, size = [], 0
             lo = 0
             for at in np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)).tolist():
                 if size + offsets[at] - offsets[lo] >= CHUNK and at < len(anchor):
                     held.append(batch.slice(lo, at - lo))
-                    if (done := solve(held)) is not None:
-                        yield done
+                    yield from solve(held)
                     held, size, lo = [], 0, at
             held.append(batch.slice(lo))
             size += int(offsets[-1] - offsets[lo])
-        if held and (done := solve(held)) is not None:
-            yield done
+        if held:
+            yield from solve(held)
 
     dealt = found.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "h1 bigint, h2 bigint, off bigint, n bigint, fd bigint, fr bigint, fs bigint")

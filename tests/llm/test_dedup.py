@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tendril.llm import jaccard, passages, substrings
+from tendril.llm import jaccard, passages, segments, substrings
 from tests.llm.conftest import DOCUMENTS, prose, row, texts_of
 
 
@@ -85,6 +85,36 @@ def test_passages(name, request):
     assert got == Counter(words_brute(texts_of(df)))
 
 
+@pytest.mark.parametrize("module,brute,names", [(substrings, bytes_brute, ("n_bytes", "n_removed", "n_spans", "kept_sha256")), (passages, words_brute, ("n_words", "n_removed", "kept_sha256"))])
+def test_frequent_passage(spark, monkeypatch, module, brute, names):
+    """A passage in many documents with other text around it: no anchor keeps all that surrounds it in one place."""
+    rng = random.Random(12)
+    shared = prose(rng, words=25)
+    texts = [f"{prose(rng, words=rng.randint(20, 40))} {shared} {prose(rng, words=rng.randint(20, 40))}" for _ in range(400)] + [shared, shared]
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCUMENTS)
+    monkeypatch.setattr(segments, "FREQUENT", 2000)
+    plain = segments.numbered(df, "doc_id", "text")
+    scheme = segments.Scheme(module.WIDTH, module.GRAM, module is passages)
+    other = module is substrings
+    found = segments.occurrences(plain, scheme, segments.census(plain, scheme, other), other)
+    most = max(r[1] for r in found.selectExpr("anchor", "octet_length(content) AS n").groupBy("anchor").sum("n").collect())
+    assert most <= 8000  # 2000, and what two segments of each batch may add
+    got = Counter(big(r, *names) for r in module.digest(df).collect())
+    assert got == Counter(brute(texts_of(df)))
+
+
+@pytest.mark.parametrize("name", ["copies", "odd"])
+def test_all_anchors_frequent(name, request, monkeypatch):
+    """Windows by their own names give what segments give."""
+    df = request.getfixturevalue(name)
+    monkeypatch.setattr(segments, "FREQUENT", 0)
+    monkeypatch.setattr(segments, "ROWS", 500)
+    got = Counter(big(r, "n_bytes", "n_removed", "n_spans", "kept_sha256") for r in substrings.digest(df).collect())
+    assert got == Counter(bytes_brute(texts_of(df)))
+    got = Counter(big(r, "n_words", "n_removed", "kept_sha256") for r in passages.digest(df).collect())
+    assert got == Counter(words_brute(texts_of(df)))
+
+
 def equal_windows(rng, n, width, low=3):
     sizes = np.array([rng.randint(width, width + 40) for _ in range(n)], np.int64)
     symbols = np.array([rng.randrange(low) for _ in range(int(sizes.sum()))], np.int64)
