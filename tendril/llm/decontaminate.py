@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tendril.llm.common import gather, keep_columns, rolling, slices, text_buffer
+from tendril.llm.common import gather, keep_columns, rolling, row_groups, slices, text_buffer
 
 Q, WINDOW, EDITS = 11, 50, 3
 #: Bytes of items that one pass broadcasts; larger benchmarks take several passes over the documents.
 PASS_BYTES = 32 << 20
 TABLE_BITS = 22
+#: Pairs of equal q-grams that are expanded at once.
+PAIRS = 1 << 20
+#: Diagonals of a band; two sets of bands overlap by half.
+BAND = 2 * (EDITS + 1)
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -68,8 +72,8 @@ class Items:
         return cls(np.array([i for i, _ in rows], np.int64), data, offsets, grams, first, count, at[order], table, window, edits)
 
 
-def hits(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (place in the documents, place in the items) with the same q-gram, none across a border."""
+def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the documents, number of its q-gram in the items) where the items have it too, none across a border."""
     found, which = [], []
     for lo, hi in slices(len(data)):
         h = rolling(fold(data[lo : hi + Q - 1]), Q)
@@ -80,9 +84,17 @@ def hits(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarra
         which.append(slot[same])
     at, slot = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (found, which))
     inside = np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + Q - 1, "right")
-    at, slot = at[inside], slot[inside]
-    counts = items.count[slot]
-    return np.repeat(at, counts), items.places[gather(items.first[slot], counts)]
+    return at[inside], slot[inside]
+
+
+def first_from(items: Items, slot: np.ndarray, bound: np.ndarray | int) -> np.ndarray:
+    """Index of the first place of each q-gram that is not below ``bound``; places of a q-gram ascend."""
+    lo, hi = items.first[slot], items.first[slot] + items.count[slot]
+    while (left := lo < hi).any():
+        mid = (lo + hi) // 2
+        below = left & (items.places[np.minimum(mid, len(items.places) - 1)] < bound)
+        lo, hi = np.where(below, mid + 1, lo), np.where(left & ~below, mid, hi)
+    return lo
 
 
 def banded(d: np.ndarray, i: np.ndarray, doc: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
@@ -90,9 +102,8 @@ def banded(d: np.ndarray, i: np.ndarray, doc: np.ndarray, item: np.ndarray, item
     keep = np.zeros(len(d), bool)
     need = np.maximum(1, items.window + 1 - Q * (items.edits + 1))[item]
     reach = (items.window + items.edits - Q)[item]
-    width = 2 * (EDITS + 1)
     for shift in (0, EDITS + 1):
-        band = (d - i + shift) // width
+        band = (d - i + shift) // BAND
         order = np.lexsort((d, band, item, doc))
         same = np.zeros(len(d), bool)
         same[1:] = (np.diff(doc[order]) == 0) & (np.diff(item[order]) == 0) & (np.diff(band[order]) == 0)
@@ -171,16 +182,76 @@ def passes_of(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
             yield Items.of([(r[0], r[1]) for r in some])
 
 
-def found_in(texts: pa.Array, items: Items) -> tuple[list, np.ndarray]:
-    """What ``verify`` returns for a column of texts, and the offsets of the texts."""
+def found_in(texts: pa.Array, items: Items) -> Iterator[list]:
+    """What ``verify`` returns for a column of texts, start and end within the text, in bounded parts.
+
+    Rows are taken in groups, and groups by their number of pairs of equal q-grams; a row with too many goes
+    by ranges of items, and a row with one item by diagonals.
+    """
     data, offsets = text_buffer(texts)
-    d, i = hits(data, offsets, items)
+    for lo, hi in row_groups(offsets):
+        part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        for found in blocks(part, own, items):
+            if found:
+                yield [(row + lo, item, start - own[row], end - own[row], edits) for row, item, start, end, edits in found]
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[list]:
+    """``verify`` over blocks of about PAIRS pairs: no pair of a document and an item is in two of the results."""
+    at, slot = matches(data, offsets, items)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, items.count[slot], len(offsets) - 1).astype(np.int64))])
+    for a, b in row_groups(ends, PAIRS):
+        mine = slice(*np.searchsorted(doc, [a, b]))
+        if ends[b] - ends[a] <= PAIRS:
+            yield aligned(at[mine], items.first[slot[mine]], items.count[slot[mine]], data, offsets, items)
+            continue
+        todo = [(0, len(items.offsets) - 1)]
+        while todo:
+            x, y = todo.pop()
+            begin, end = (first_from(items, slot[mine], items.offsets[k]) for k in (x, y))
+            n = int((end - begin).sum())
+            if 0 < n <= PAIRS:
+                yield aligned(at[mine], begin, end - begin, data, offsets, items)
+            elif n and y - x > 1:
+                todo += [((x + y) // 2, y), (x, (x + y) // 2)]
+            elif n:
+                yield next((f for f in diagonals(at[mine], slot[mine], x, data, offsets, items) if f), [])
+
+
+def diagonals(at: np.ndarray, slot: np.ndarray, item: int, data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[list]:
+    """``verify`` of a document and an item over ranges of diagonals, each with half a band beside it, so that
+    every band is whole in one of them; a single band in pieces of the document that overlap by more than a window."""
+    lo, hi, half = items.offsets[item], items.offsets[item + 1], BAND // 2
+    todo = [(int(at[0] - hi) // BAND * BAND, (int(at[-1] - lo) // BAND + 1) * BAND)]
+    while todo:
+        a, b = todo.pop()
+        begin = first_from(items, slot, np.maximum(lo, at - b - half + 1))
+        count = np.maximum(begin, first_from(items, slot, np.minimum(hi, at - a + half + 1))) - begin
+        n = int(count.sum())
+        if n > PAIRS and b - a > BAND:
+            mid = a + (b - a) // BAND // 2 * BAND
+            todo += [(mid, b), (a, mid)]
+            continue
+        few = max(1, PAIRS // (2 * BAND)) if n > PAIRS else len(at)
+        for k in range(0, len(at) if n else 0, few):
+            x, y = at[k], at[min(k + few, len(at)) - 1]
+            some = slice(*np.searchsorted(at, [x - 2 * WINDOW, y + 2 * WINDOW + 1]))
+            if count[some].any():
+                yield aligned(at[some], begin[some], count[some], data, offsets, items, lambda d, i: (d >= x) & (d <= y) & (d - i >= a) & (d - i < b))
+
+
+def aligned(at: np.ndarray, begin: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, items: Items, inner=None) -> list:
+    """``verify`` of the pairs of each place with ``count`` places of the items; only ``inner`` ones begin a window."""
+    d, i = np.repeat(at, count), items.places[gather(begin, count)]
     if not len(d):
-        return [], offsets
+        return []
     doc = np.searchsorted(offsets, d, "right") - 1
     item = np.searchsorted(items.offsets, i, "right") - 1
     kept = banded(d, i, doc, item, items)
-    return verify(d[kept], i[kept], doc[kept], item[kept], data, offsets, items), offsets
+    if inner is not None:
+        kept &= inner(d, i)
+    return verify(d[kept], i[kept], doc[kept], item[kept], data, offsets, items)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -199,11 +270,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, offsets = found_in(batch.column(1), shared.value)
-                if found:
+                for found in found_in(batch.column(1), shared.value):
                     row, item, start, end, edits = (np.array(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array(shared.value.ids[item]), pa.array(start - offsets[row]), pa.array(end - offsets[row]), pa.array(edits.astype(np.int32))], names=schema.names
+                        [batch.column(0).take(pa.array(row)), pa.array(shared.value.ids[item]), pa.array(start), pa.array(end), pa.array(edits.astype(np.int32))], names=schema.names
                     )
 
         return plain.mapInArrow(run, schema)
@@ -222,7 +292,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
-                stays[[f[0] for f in found_in(batch.column(at), shared.value)[0]]] = False
+                for found in found_in(batch.column(at), shared.value):
+                    stays[[f[0] for f in found]] = False
                 yield batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,23 @@ def test_leaks_in_several_passes(spark, odd, monkeypatch):
     assert sorted(decontaminate.leaks(odd, items).collect()) == whole != []
 
 
+@pytest.mark.parametrize("most", [1, 50, 3000])
+def test_leaks_of_frequent_grams(most, monkeypatch):
+    """Pairs of equal q-grams are expanded in bounded blocks, with the same pairs of documents and items as at once."""
+    rng = random.Random(13)
+    phrase = prose(rng, words=6)
+    items = [prose(rng, words=8) + " " + phrase + " " + prose(rng, words=8) for _ in range(20)] + [" " * 90 + "x" + "-" * 400, "-" * 30 + "a" + "-" * 30 + "b" + "-" * 30]
+    texts = [prose(rng, words=5) + " " + phrase + prose(rng, words=5) for _ in range(15)] + [edit(rng, t[20:100], 2) for t in items[:5]]
+    texts += ["-" * 700, " " * 300 + "y" + "-" * 45, ("-" * 20 + "ab") * 30, "q " + " " * 48 + "\t" * 9, items[-1].upper()]
+    known = decontaminate.Items.of(list(enumerate(items)))
+    pairs = lambda: sorted(f[:2] for found in decontaminate.found_in(pa.array(texts), known) for f in found)
+    whole, sizes, real = pairs(), [], decontaminate.banded
+    monkeypatch.setattr(decontaminate, "PAIRS", most)
+    monkeypatch.setattr(decontaminate, "banded", lambda d, *rest: sizes.append(len(d)) or real(d, *rest))
+    assert pairs() == whole and len(set(whole)) == len(whole) > 5
+    assert max(sizes) <= max(most, (4 * decontaminate.WINDOW + 1 + most) * 2 * decontaminate.BAND)
+
+
 # secrets
 
 PATTERN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
