@@ -42,7 +42,7 @@ def fold(data: np.ndarray) -> np.ndarray:
 class Items:
     """Folded items in a row with their q-grams sorted by hash."""
 
-    ids: np.ndarray
+    ids: pa.Array
     data: np.ndarray
     offsets: np.ndarray
     grams: np.ndarray
@@ -69,7 +69,7 @@ class Items:
         table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         window = np.minimum(WINDOW, sizes)
         edits = np.minimum(window * EDITS // WINDOW, np.maximum(0, (window + 1) // Q - 1))
-        return cls(np.array([i for i, _ in rows], np.int64), data, offsets, grams, first, count, at[order], table, window, edits)
+        return cls(pa.array([i for i, _ in rows], pa.int64()), data, offsets, grams, first, count, at[order], table, window, edits)
 
 
 def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def verify(d: np.ndarray, i: np.ndarray, doc: np.ndarray, item: np.ndarray, data
 
 def passes_of(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
     """The items in groups of about PASS_BYTES; the driver and each executor hold one group at a time."""
-    rows = keep_columns(benchmark, item=key, text=text).filter(F.col("item").isNotNull() & (F.octet_length("text") >= Q)).distinct()
+    rows = keep_columns(benchmark, item=key, text=text).filter(F.octet_length("text") >= Q).distinct()
     rows = rows.withColumn("item", F.col("item").cast("bigint"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // PASS_BYTES))
@@ -259,7 +259,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     A window is WINDOW bytes of the item (all of a shorter one) with at most EDITS edits, letters in either
     case, any white space alike; start and end are bytes of the document. Null and empty texts match
-    nothing; items under Q bytes are too short to tell and match nothing. Only the items are broadcast, at
+    nothing; items under Q bytes are too short to tell and match nothing. Items without an id count like others;
+    their rows have a null item_id, one for each different text. Only the items are broadcast, at
     most about PASS_BYTES a pass; documents are read once a pass and never shuffled.
     """
     plain = keep_columns(docs, key=key, text=text)
@@ -273,7 +274,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 for found in found_in(batch.column(1), shared.value):
                     row, item, start, end, edits = (np.array(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array(shared.value.ids[item]), pa.array(start), pa.array(end), pa.array(edits.astype(np.int32))], names=schema.names
+                        [batch.column(0).take(pa.array(row)), shared.value.ids.take(pa.array(item)), pa.array(start), pa.array(end), pa.array(edits.astype(np.int32))], names=schema.names
                     )
 
         return plain.mapInArrow(run, schema)
@@ -284,7 +285,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no window of an item occurs, with all their columns; no shuffle."""
+    """The rows of ``docs`` in whose text no window of an item occurs, with all their columns; no shuffle.
+
+    Items are taken by their text, whether they have an id or not; those under Q bytes match nothing.
+    """
     schema, at = docs.schema, docs.columns.index(text)
     for items in passes_of(benchmark, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)

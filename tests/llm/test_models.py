@@ -208,6 +208,15 @@ def test_leaks_odd(odd, nothing, spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, some).collect()) == [(9, 1), (9, 2)]
 
 
+def test_leaks_of_items_without_id(spark):
+    rng = random.Random(14)
+    held, other = prose(rng), prose(rng)
+    bench = spark.createDataFrame([(None, held), (None, held), (None, other), (5, prose(rng))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, "x " + held), (1, prose(rng)), (2, held + " " + other)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(0, None), (2, None), (2, None)]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [1]
+
+
 def test_leaks_in_several_passes(spark, odd, monkeypatch):
     items = spark.createDataFrame([(i, c * 60) for i, c in enumerate("xyz")] + [(9, "ab " * 20)], "item_id bigint, text string")
     whole = sorted(decontaminate.leaks(odd, items).collect())
