@@ -106,6 +106,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(table(spark, sf_dir, "documents"))
 
 
+from tendril.llm import kneser_ney  # noqa: E402
+
+
+@query("op11_kneser_ney_score")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.digest(table(spark, sf_dir, "documents"))
+
+
 import corpus_pipeline  # noqa: E402
 
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
\ No newline at end of file

@@ -10,7 +10,7 @@ import corpus_pipeline
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
