@@ -114,6 +114,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.digest(table(spark, sf_dir, "documents"))
 
 
+from tendril.llm import negatives  # noqa: E402
+
+
+@query("op13_hard_negatives", negatives.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=negatives.relabelled())
+
+
+from tendril.llm import spelling  # noqa: E402
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 import corpus_pipeline  # noqa: E402
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
\ No newline at end of file
