@@ -4,6 +4,6 @@
 def load():
     """Import every query module and return the registry."""
     from tendril.plans import registry
-    from tendril.plans import assignments, graphs, matching, series, topology, voxels  # noqa: F401
+    from tendril.plans import assignments, contours, graphfiles, graphs, matching, series, topology, voxels  # noqa: F401
 
     return registry
