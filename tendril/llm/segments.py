@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tendril.llm.common import binaries, gather, mix, rolling, row_groups, slices, sliding_min, spans_hash, text_buffer, words
+from tendril.llm.common import binaries, gather, mix, rolling, row_groups, slices, sliding_min, spans_hash, strong_hash, text_buffer, words
 from tendril.session import materialize
 
 #: Windows of a segment at most: a long run of one anchor (text that repeats itself) is cut.
@@ -244,8 +244,8 @@ def passing(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes by which the occurrences of a segment find what was told about it."""
-    return spans_hash(data, start, end), spans_hash(data, start, end, 0xD1B54A32D192ED03)
+    """Two 64-bit hashes by which the occurrences of a segment find what was told about it; no kind of text makes them collide."""
+    return strong_hash(data, start, end, 1), strong_hash(data, start, end, 2)
 
 
 def collapse(rows: pa.Table, other_docs: bool) -> pa.Table:

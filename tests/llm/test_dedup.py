@@ -208,3 +208,13 @@ def test_near_duplicates_odd(odd, nothing):
     assert kept.schema == odd.schema and sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12, 13, 20]
     assert jaccard.classes_of(nothing).collect() == []
     assert jaccard.one_each(nothing).collect() == []
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(spark):
+    """The Thue-Morse text and its mirror image have equal polynomial hashes modulo 2**64 under every odd base."""
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    mirror = thue.translate(str.maketrans("ab", "ba"))
+    frame = [f"w{i}" for i in range(20)]
+    texts = [" ".join([*frame[:10], middle, *frame[10:]]) for middle in (thue, mirror, thue)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCUMENTS)
+    assert {r.doc_id: r.n_removed for r in passages.digest(docs).collect()} == {0: 0, 1: 0, 2: 21}
