@@ -104,7 +104,8 @@ def _peel(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
 def contour_arcs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(keys, lo, hi)``: arcs of the contour tree over all nodes; both tables as ``numbered`` gives them.
 
-    Each piece of the mesh gives a tree of its own; a node without neighbours has no arc.
+    Each piece of the mesh gives a tree of its own; a node without neighbours has no arc. A mesh with holes is an error where the
+    two trees have no merge.
     """
     turned = edges.select(*KEY, (-F.col("lo")).alias("hi"), (-F.col("hi")).alias("lo"))
     join = merge_tree(nodes, edges).select(*KEY, "node", F.col("next").alias("down"))
@@ -121,7 +122,7 @@ def contour_arcs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         trees = swap(turned_trees)
         before, open_ = open_, trees.filter("down is not null or up is not null").count()
         if open_ == before:
-            raise ValueError("the two trees do not belong to one mesh")
+            raise ValueError("no leaf is left: the mesh has holes, so its two trees have no merge")
     out = edges.select(*KEY, "lo", "hi").limit(0)
     for part in parts:
         out = out.unionByName(part)

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from tendril.operators import contour as C
 from tendril.plans.registry import query
 from tendril.plans.scene import FIRST_YEAR, table
+from tendril.session import materialize
 
 SALES = f"""
-sales AS MATERIALIZED (
+sold AS (
   SELECT CAST(year(o_orderdate) - {FIRST_YEAR} AS INT) AS t, c_nationkey AS x, CAST(quarter(o_orderdate) - 1 AS INT) AS y, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+sales AS MATERIALIZED (
+  SELECT t, x, y, coalesce(value, 0) AS value FROM (SELECT DISTINCT t FROM sold) CROSS JOIN (SELECT CAST(unnest(range((SELECT max(x) + 1 FROM sold))) AS INT) AS x) CROSS JOIN (SELECT CAST(unnest(range(4)) AS INT) AS y)
+  LEFT JOIN sold USING (t, x, y)),
 node AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY value, y, x) AS INT) AS i FROM sales),
 size AS MATERIALIZED (SELECT t, CAST(count(*) AS INT) AS n FROM node GROUP BY 1),
 near AS MATERIALIZED (SELECT a.t, a.i, list(b.i) AS js FROM node a JOIN node b ON b.t = a.t AND (abs(a.x - b.x) + abs(a.y - b.y) = 1 OR (a.x - b.x = a.y - b.y AND abs(a.x - b.x) = 1)) GROUP BY 1, 2)
@@ -49,10 +53,13 @@ deg AS MATERIALIZED (SELECT t, i, (SELECT count(*) FROM arcs a WHERE a.t = node.
 
 
 def sales(spark, d):
+    """The lattice without gaps: no sales are 0."""
     orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return orders.groupBy(
-        F.lit("sales").alias("field_id"), (F.year("o_orderdate") - FIRST_YEAR).alias("t"), F.col("c_nationkey").alias("x"), (F.quarter("o_orderdate") - 1).alias("y"), F.lit(0).alias("z")
-    ).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("value"))
+    sold = orders.groupBy((F.year("o_orderdate") - FIRST_YEAR).alias("t"), F.col("c_nationkey").alias("x"), (F.quarter("o_orderdate") - 1).alias("y"))
+    sold = materialize(sold.agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("value")), "sold")
+    last = sold.agg(F.max("x")).scalar()
+    cells = sold.select("t").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), last))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return cells.join(sold, ["t", "x", "y"], "left").select(F.lit("sales").alias("field_id"), "t", "x", "y", F.lit(0).alias("z"), F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def tree(spark, d):
