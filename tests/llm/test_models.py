@@ -400,3 +400,51 @@ def test_search_few(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [3.0])], "vec_id bigint, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(few).collect()) == [(0, 1, 50, 196608), (0, 2, 1, 131072), (50, 1, 1, 393216), (50, 2, 0, 196608)]
     assert topk.top_k(few.limit(0)).collect() == [] == topk.top_k(few.filter("vec_id = 0")).collect()
+
+
+def test_secrets_equal_a_slow_scorer(spark):
+    """Spans of the Markov models, and the masked text, against a plain walk with the same ratios."""
+    rng = random.Random(12)
+    symbols = secrets.ALPHABET
+    texts = []
+    for i in range(60):
+        parts = [prose(rng, words=rng.randint(1, 12))]
+        for _ in range(rng.randint(0, 6)):
+            blob = "".join(rng.choice(symbols) for _ in range(rng.randint(5, 60)))
+            parts.append(rng.choice([blob, blob + "0123456789abcdef01" + blob, "AKIA" + "Q7" * 12 + "x" + blob, "secret=" + blob + "." + blob, "deadbeef" * 3, blob[:12] + "-" * 30, prose(rng, words=5).replace(" ", "_")]))
+            parts.append(prose(rng, words=rng.randint(0, 3)) + rng.choice(["", " é", "\U0001f389"]))
+        texts.append(rng.choice(["", " ", "\n"]).join(parts))
+    texts.append(" ".join(texts) * 2)
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCUMENTS)
+    samples = secrets.labelled(df)
+    ratios = secrets.train(samples).first().ratios
+    place = {c: i for i, c in enumerate(symbols)}
+
+    def slow(text):
+        base = []
+        for kind, pattern in ((0, secrets.ASSIGN), (1, r"AKIA[A-Z0-9]+"), (2, r"[0-9a-f]+")):
+            for m in re.finditer(pattern, text):
+                if len(m[2] if kind == 0 else m[0]) >= (12, 18, 16)[kind]:
+                    base.append((m.start(), kind, m.end()))
+        out = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, _, b in base)]
+            runs = [list(x) for x in np.split(free, np.flatnonzero(np.diff(free) != 1) + 1) if len(x)] if free else []
+            for run in runs:
+                value = text[run[0] : run[-1] + 1]
+                total = sum(ratios[place[a] * len(symbols) + place[b]] for a, b in zip(value, value[1:]))
+                if len(set(value)) >= 8 and total >= 20 and total >= 0.6 * (len(value) - 1):
+                    out.append((int(run[0]), 3, int(run[-1]) + 1))
+        return sorted(base + out)
+
+    found = secrets.scan(df, samples).select(F.col("whole.doc_id").alias("doc_id"), F.sort_array(F.concat("assign", "access", "hex", "markov")).alias("s")).collect()
+    assert {r.doc_id: [(x.start, x.kind, x.end) for x in r.s] for r in found} == {i: slow(t) for i, t in enumerate(texts)}
+    assert sum(x.kind == 3 for r in found for x in r.s) > 50
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for r in found:
+        out, at, text = [], 0, texts[r.doc_id]
+        for x in r.s:
+            if x.start >= at:
+                out += [text[at : x.start], secrets.MASK]
+            at = max(at, x.end)
+        assert masked[r.doc_id] == "".join(out) + text[at:]
