@@ -125,3 +125,11 @@ def test_contour_trees_of_random_fields(spark):
     fields.append(([3, 1, 2, 4, 5, 6], {0: [1, 2, 3, 4, 5], **{i: [0] for i in range(1, 6)}}))
     fields.append(([1], {0: []}))
     compare(spark, fields)
+
+
+def test_skeleton_of_an_empty_field(spark):
+    from tendril.operators import costmap
+
+    voxels = spark.createDataFrame([("f", 0, 1, 1, 1, 0.0)], "field_id string, t int, x int, y int, z int, value double")
+    out = costmap.skeleton(voxels, voxels.select("field_id", "t", "x", "y", "z"))
+    assert out.columns == ["field_id", "t", "branch", "ord", "x", "y", "z"] and out.collect() == []
