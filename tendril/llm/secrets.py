@@ -6,6 +6,8 @@ counts give the models, a lookup per bigram gives the log-likelihood ratio of a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,40 +25,67 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
 #: Different characters that a secret has at least; rulers such as ``=====`` are none.
 DIFFERENT = 8
 WORD = r"[A-Za-z0-9_-]{8,}"
-CHUNK = 256
+CHUNK = 128
+#: Texts are cut into blocks of ``1 << BLOCK`` characters, so that a piece of one is taken without a walk from its start.
+BLOCK = 12
 MASK = "[secret]"
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def located(text: str, found: str, gaps: str, kind: int) -> Column:
-    """Spans of the matches: the lengths of matches and of the gaps before them, summed up in two levels."""
-    lengths = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), m.alias("text")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or a lambda inside it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Totals of array<int> up to and with each element; ``add`` is associative and keeps what it adds to 0.
+
+    In two levels: a list grows by one element only within a chunk and over the totals of chunks, so the
+    work stays in proportion to the array.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def prefix(x: Column) -> Column:
+        return F.aggregate(x, none, lambda s, v: F.array_append(s, add(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)), v)))
+
+    def chunks(v: Column) -> Column:
+        last = F.size(v) - 1
+        own = lambda c: F.transform(F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK - 1, last)), lambda i: F.get(v, i))
+        return F.transform(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")), lambda c: prefix(own(c)))
 
-    def chunk(c: Column) -> Column:
-        before = F.aggregate(F.slice("_lengths", 1, c * CHUNK), F.lit(0), lambda s, x: s + x["gap"] + x["own"])
-        start = F.struct(before.alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    def joined(parts: Column) -> Column:
+        totals = prefix(F.transform(parts, lambda p: F.element_at(p, -1)))
+        before = F.slice(F.concat(F.array(F.lit(0)), totals), 1, F.size(parts))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda v: add(b, v))))
 
-        def step(done: Column, x: Column) -> Column:
-            begin = done["at"] + x["gap"]
-            end = begin + x["own"]
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["text"].alias("value"))
-            return F.struct(end.alias("at"), F.array_append(done["out"], span).alias("out"))
+    return F.when(F.size(values) > 0, let(let(values, chunks), joined)).otherwise(none)
 
-        return F.aggregate(F.slice("_lengths", c * CHUNK + 1, CHUNK), start, step, lambda done: done["out"])
 
-    return lengths, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), chunk))
+def blocks_of(text: Column) -> Column:
+    size = 1 << BLOCK
+    return F.when(F.length(text) > size, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array(text))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text in blocks."""
+    first = F.shiftright(start, BLOCK)
+    own = F.transform(F.sequence(first, F.shiftright(end - 1, BLOCK)), lambda k: F.get(blocks, k))
+    return F.when(start < end, F.substring(F.array_join(own, ""), start - F.shiftleft(first, BLOCK) + 1, end - start)).otherwise("")
 
 
 def spans_of(df: DataFrame, text: str, pattern: str, quick: str, kind: int, out: str) -> DataFrame:
-    """Adds the leftmost non-overlapping matches; ``quick`` is a cheaper test without which there is none."""
+    """Adds the leftmost non-overlapping matches; ``quick`` is a cheaper test without which there is none.
+
+    The lengths of matches and of the gaps before them, summed up, are the places.
+    """
     none = F.expr(f"cast(array() as {SPAN})")
     hit = F.col(text).rlike(quick)
     df = df.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.expr("cast(array() as array<string>)")))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, pattern, -1)))
-    lengths, spans = located(text, "_found", "_gaps", kind)
-    df = df.withColumn("_lengths", F.when(F.size("_found") > 0, lengths))
-    return df.withColumn(out, F.when(F.size("_found") > 0, spans).otherwise(none)).drop("_found", "_gaps", "_lengths")
+    ends = running(F.zip_with("_found", F.slice("_gaps", 1, F.size("_found")), lambda m, g: F.length(g) + F.length(m)), lambda a, b: a + b)
+    spans = F.zip_with("_found", ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")))
+    return df.withColumn(out, F.when(F.size("_found") > 0, spans).otherwise(none)).drop("_found", "_gaps")
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
@@ -67,20 +96,16 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return spans_of(df, text, HEX, HEX, 2, "hex")
 
 
-def place(token: Column, at: Column) -> Column:
-    """Place of a character in the alphabet, from 1; 0 outside."""
-    return F.position(token.substr(at, F.lit(1)), F.lit(ALPHABET))
-
-
 def bigrams(token: Column) -> Column:
     """Codes of neighbouring characters; pairs with a character outside the alphabet are null."""
     size = len(ALPHABET)
+    places = F.transform(F.split(token, ""), lambda c: F.when(c != "", F.position(c, F.lit(ALPHABET))).otherwise(0))
 
-    def code(i: Column) -> Column:
-        a, b = place(token, i), place(token, i + 1)
-        return F.when((a > 0) & (b > 0), (a - 1) * size + b - 1)
+    def pairs(p: Column) -> Column:
+        pair = lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * size + b - 1)
+        return F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.size(p)), pair)
 
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), code)
+    return let(places, pairs)
 
 
 def train(samples: DataFrame, weight: float = 20.0) -> DataFrame:
@@ -132,19 +157,25 @@ def labelled(docs: DataFrame, text: str = "text", documents: int = 20_000, made:
     return values.unionByName(digests).unionByName(words)
 
 
-def uncovered(c: Column, base: Column) -> Column:
-    """The parts of a candidate that no span of ``base`` (sorted) covers, as spans; the candidate itself if none touches it."""
-    touching = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def uncovered(candidates: Column, base: Column, blocks: Column) -> Column:
+    """The parts of candidates that no span of ``base`` covers, as spans; a candidate itself if none touches it.
 
-    def add(out: Column, a: Column, b: Column) -> Column:
-        part = F.struct(a.alias("start"), c["kind"].alias("kind"), b.alias("end"), c["value"].substr(a - c["start"] + 1, b - a).alias("value"))
-        return F.when(a < b, F.array_append(out, part)).otherwise(out)
+    One ordered merge of both: between a start and the next one, what is free runs from the furthest end of
+    ``base`` so far to the end of the latest candidate. Parts too short to hold enough different characters are left out.
+    """
+    mine = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), F.lit(0).alias("cover"), c["end"].alias("till")))
+    other = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("cover"), F.lit(0).alias("till")))
+    most = lambda name: lambda e: running(F.transform(e, lambda x: x[name]), F.greatest)
 
-    def step(done: Column, b: Column) -> Column:
-        return F.struct(F.greatest(done["at"], b["end"]).alias("at"), add(done["out"], done["at"], b["start"]).alias("out"))
+    def parts(events: Column) -> Column:
+        starts = F.transform(events, lambda e: e["start"])
+        ahead = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda s, n: F.struct(s.alias("start"), n.alias("next")))
+        free = F.zip_with(ahead, most("cover")(events), lambda s, c: F.struct(F.greatest(s["start"], c).alias("start"), s["next"].alias("next")))
+        return F.zip_with(free, most("till")(events), lambda f, t: F.struct(f["start"].alias("start"), F.least(f["next"], t).alias("end")))
 
-    start = F.struct(c["start"].alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    return F.aggregate(touching, start, step, lambda done: add(done["out"], done["at"], c["end"]))
+    cut = F.filter(let(F.sort_array(F.concat(mine, other)), parts), lambda p: p["end"] - p["start"] >= DIFFERENT)
+    span = lambda p, b: F.struct(p["start"].alias("start"), F.lit(3).alias("kind"), p["end"].alias("end"), piece(b, p["start"], p["end"]).alias("value"))
+    return let(blocks, lambda b: F.transform(cut, lambda p: span(p, b)))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", least: float = 20.0, mean: float = 0.6) -> DataFrame:
@@ -159,8 +190,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
     model = train(labelled(docs, text) if samples is None else samples)
     df = with_base(df)
     df = spans_of(df, "text", CANDIDATE, CANDIDATE, 3, "candidates")
-    df = df.withColumn("_base", F.when(F.size("candidates") > 0, F.sort_array(F.concat("assign", "access", "hex"))))
-    free = F.flatten(F.transform("candidates", lambda c: uncovered(c, F.col("_base"))))
+    free = uncovered(F.col("candidates"), F.concat("assign", "access", "hex"), blocks_of(F.col("text")))
     df = df.withColumn("free", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates"))).withColumn("ratios", model.scalar())
 
     def sure(c: Column) -> Column:
@@ -168,7 +198,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text",
         varied = F.size(F.array_distinct(F.split(c["value"], ""))) >= DIFFERENT
         return varied & (total >= least) & (total >= mean * (F.length(c["value"]) - 1))
 
-    return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios", "_base")
+    return df.withColumn("markov", F.filter("free", sure)).drop("free", "candidates", "ratios")
 
 
 def listed(spans: Column) -> Column:
@@ -193,13 +223,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = scan(docs, text=text)
     spans = F.sort_array(F.concat("assign", "access", "hex", "markov"))
 
-    def step(done: Column, s: Column) -> Column:
-        ahead = s["start"] >= done["at"]
-        more = F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(MASK))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(ahead, F.concat(done["out"], more)).otherwise(done["out"]).alias("out"))
+    def masked(s: Column, blocks: Column) -> Column:
+        """What lies between the spans, each time up to a start that is beyond all ends before it."""
+        ends = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        before = lambda e: F.concat(F.array(F.lit(0)), e)
+        gaps = F.zip_with(before(ends), F.transform(s, lambda x: x["start"]), lambda e, x: F.struct(e.alias("end"), F.coalesce(x, F.length("text")).alias("start"), x.isNull().alias("rest")))
+        put = lambda g: F.when(g["start"] >= g["end"], F.concat(piece(blocks, g["end"], g["start"]), F.when(g["rest"], "").otherwise(MASK))).otherwise("")
+        return F.array_join(F.transform(gaps, put), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
+    whole = let(spans, lambda s: let(blocks_of(F.col("text")), lambda b: masked(s, b)))
     touched = F.size(F.concat("assign", "access", "hex", "markov")) > 0
     own = lambda c: F.col(f"whole.`{c}`")
     return found.select(*[(F.when(touched, whole).otherwise(own(c)) if c == text else own(c)).alias(c) for c in docs.columns])

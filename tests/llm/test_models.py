@@ -1,5 +1,6 @@
 """Language, reputation, chats, leaks, secrets, tokens and search against brute force, round trips and held-out data."""
 
+import base64
 import hashlib
 import random
 import re
@@ -448,3 +449,25 @@ def test_secrets_equal_a_slow_scorer(spark):
                 out += [text[at : x.start], secrets.MASK]
             at = max(at, x.end)
         assert masked[r.doc_id] == "".join(out) + text[at:]
+
+
+def test_secrets_of_long_tokens_and_many_spans(spark):
+    """Work stays in proportion to the text: a blob of 2 MB, 50 000 digests, and a token of many spans."""
+    rng = np.random.default_rng(13)
+    blob = base64.b64encode(rng.bytes(1_500_000)).decode().rstrip("=")
+    lines = "\n".join(rng.bytes(32).hex() for _ in range(50_000))
+    mixed = "/".join(["0123456789abcdef", "qZ7vXk2LpW9sTbR4mYc8NdHf3JgQxU6e"] * 5_000)
+    texts = ["é " + blob + " end", lines, mixed, prose(random.Random(14), words=2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in secrets.digest(df).collect()}
+    ratios = np.array(secrets.train(secrets.labelled(df)).first().ratios)
+    at = np.array([secrets.ALPHABET.index(c) for c in blob])
+    total = ratios[at[:-1] * len(secrets.ALPHABET) + at[1:]].sum()
+    sure = total >= max(20, 0.6 * (len(blob) - 1))
+    assert (found[0].spans, found[0].n_hex) == (f"markov:2:{2 + len(blob)}" if sure else "", 0)
+    assert (found[1].n_hex, found[1].n_markov) == (50_000, 0)
+    assert found[1].spans == ",".join(f"hex:{i * 65}:{i * 65 + 64}" for i in range(50_000))
+    assert (found[2].n_hex, found[2].n_markov) == (5_000, 5_000)
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert masked[1] == "\n".join([secrets.MASK] * 50_000)
+    assert masked[2] == secrets.MASK * 10_000 and masked[3] == texts[3]
