@@ -218,9 +218,9 @@ def digest(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", samples: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret replaced by a mask; overlapping spans share one. Other columns and rows stay."""
-    found = scan(docs, text=text)
+    found = scan(docs, samples, text)
     spans = F.sort_array(F.concat("assign", "access", "hex", "markov"))
 
     def masked(s: Column, blocks: Column) -> Column:

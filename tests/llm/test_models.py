@@ -457,17 +457,21 @@ def test_secrets_of_long_tokens_and_many_spans(spark):
     blob = base64.b64encode(rng.bytes(1_500_000)).decode().rstrip("=")
     lines = "\n".join(rng.bytes(32).hex() for _ in range(50_000))
     mixed = "/".join(["0123456789abcdef", "qZ7vXk2LpW9sTbR4mYc8NdHf3JgQxU6e"] * 5_000)
-    texts = ["é " + blob + " end", lines, mixed, prose(random.Random(14), words=2000)]
+    ordinary = re.sub(r"(\S+) (\S+) (\S+)", r"\1_\2 \3", prose(random.Random(10), words=9000))
+    texts = ["é " + blob + " end", lines, mixed, ordinary]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = {r.doc_id: r for r in secrets.digest(df).collect()}
-    ratios = np.array(secrets.train(secrets.labelled(df)).first().ratios)
+    samples = secrets.labelled(df.filter("doc_id = 3")).persist()
+    ratios = np.array(secrets.train(samples).first().ratios)
     at = np.array([secrets.ALPHABET.index(c) for c in blob])
-    total = ratios[at[:-1] * len(secrets.ALPHABET) + at[1:]].sum()
-    sure = total >= max(20, 0.6 * (len(blob) - 1))
-    assert (found[0].spans, found[0].n_hex) == (f"markov:2:{2 + len(blob)}" if sure else "", 0)
-    assert (found[1].n_hex, found[1].n_markov) == (50_000, 0)
-    assert found[1].spans == ",".join(f"hex:{i * 65}:{i * 65 + 64}" for i in range(50_000))
-    assert (found[2].n_hex, found[2].n_markov) == (5_000, 5_000)
-    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
-    assert masked[1] == "\n".join([secrets.MASK] * 50_000)
+    assert ratios[at[:-1] * len(secrets.ALPHABET) + at[1:]].sum() > 0.6 * len(blob)
+    found = secrets.scan(df, samples).select(F.col("whole.doc_id").alias("doc_id"), *[F.transform(k, lambda s: F.array(s["start"], s["end"])).alias(k) for k in ("hex", "markov")])
+    found = {r.doc_id: r for r in found.collect()}
+    assert (found[0].hex, found[0].markov) == ([], [[2, 2 + len(blob)]])
+    assert (found[1].hex, found[1].markov) == ([[i * 65, i * 65 + 64] for i in range(50_000)], [])
+    cuts = [(m.start(), m.end()) for m in re.finditer("0123456789abcdef", mixed)]
+    assert found[2].hex == [list(c) for c in cuts]
+    assert found[2].markov == [[a, b] for (_, a), (b, _) in zip(cuts, [*cuts[1:], (len(mixed), 0)])]
+    masked = {r.doc_id: r.text for r in secrets.redact(df, samples=samples).collect()}
+    assert masked[0] == "é " + secrets.MASK + " end" and masked[1] == "\n".join([secrets.MASK] * 50_000)
     assert masked[2] == secrets.MASK * 10_000 and masked[3] == texts[3]
+    samples.unpersist()
