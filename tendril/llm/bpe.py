@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from tendril.llm.common import gather, keep_columns, row_groups, text_buffer
 #: Fixed value: the split of text into words that belongs to this kind of vocabulary. White_Space is
 #: spelled out because the regex library's ``\s`` has four control characters more.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct words that a worker remembers, for as long as it lives; beyond it the memory starts anew.
+#: Distinct words that a worker remembers, for as long as it lives; beyond it only those met again stay.
 MEMORY = 120_000
 CHARS = 1 << 20
 
@@ -73,11 +74,19 @@ class Vocabulary:
         self.code_ranks = np.append(np.array([r for r, _ in self.merges.values()], np.int64)[order], 0)
         self.word = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.forget()
+        self.known: dict[str, int] = {}
+        self.counts, self.begins, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.again = np.empty(0, bool)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.counts, self.flat, self.pairs = np.empty(0, np.int64), np.empty(0, np.int32), {}
+        """Drops the words not met again since they were kept last; all, if more than half would stay."""
+        keep = np.flatnonzero(self.again)
+        keep = keep if len(keep) <= MEMORY // 2 else keep[:0]
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        lengths = self.counts[keep]
+        self.flat = self.flat[gather(self.begins[keep], lengths)]
+        self.counts, self.begins, self.again = lengths, np.cumsum(lengths) - lengths, np.zeros(len(keep), bool)
 
     def greedy(self, word: bytes) -> list[int]:
         ids, out, i, n = self.ids, [], 0, len(word)
@@ -177,8 +186,13 @@ class Vocabulary:
             else:
                 found.extend(self.word(text))
             per_text.append(len(found) - before)
+        if not found:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         known = self.known
-        fresh = [w for w in dict.fromkeys(found) if w not in known]
+        at = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
+        self.again[at[at >= 0]] = True
+        missing = np.flatnonzero(at < 0).tolist()
+        fresh = list(dict.fromkeys(found[i] for i in missing))
         if fresh:
             plain = [w for w in fresh if not (w[:1] == "\0" and w[1:] in self.special)]
             marks = [w for w in fresh if w[:1] == "\0" and w[1:] in self.special]
@@ -189,9 +203,8 @@ class Vocabulary:
             self.counts = np.concatenate([self.counts, np.ones(len(marks), np.int64)])
             self.flat = np.concatenate([self.flat, np.array([self.special[w[1:]] for w in marks], np.int32)])
             self.begins = np.cumsum(self.counts) - self.counts
-        if not found:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        at = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            self.again = np.append(self.again, np.zeros(len(fresh), bool))
+            at[missing] = [known[found[i]] for i in missing]
         lengths = self.counts[at]
         ids = self.flat[gather(self.begins[at], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])

@@ -475,3 +475,16 @@ def test_secrets_of_long_tokens_and_many_spans(spark):
     assert masked[0] == "é " + secrets.MASK + " end" and masked[1] == "\n".join([secrets.MASK] * 50_000)
     assert masked[2] == secrets.MASK * 10_000 and masked[3] == texts[3]
     samples.unpersist()
+
+
+@pytest.mark.parametrize("memory", [3, 40, 10_000])
+def test_words_forgotten_and_kept(monkeypatch, real, memory):
+    """Ids do not depend on which words are remembered; frequent words stay."""
+    monkeypatch.setattr(bpe, "MEMORY", memory)
+    book, rng = bpe.Vocabulary(PATH), random.Random(15)
+    for i in range(30):
+        texts = ["the and", *(" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 9))) + rng.choice(["", "<|endoftext|>", "\0"]) for _ in range(4))]
+        ids, counts = book.encode(texts)
+        want = [real.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        assert memory < 40 or not i or "the" in book.known
