@@ -64,7 +64,7 @@ def overlap_mapping(labels: DataFrame, fraction: float = vocab.OVERLAP_FRACTION)
     """``(field_id, t, a, b, overlap)`` where the overlap exceeds the fraction of both volumes.
 
     Below one half several successors could map; the largest overlap, then the lowest label
-    wins, once per predecessor and once per successor.
+    wins, first for each predecessor and then, among those, for each successor.
     """
     pairs = contingency(labels).filter("a <> 0 AND b <> 0")
     vol = volumes(labels)
@@ -78,6 +78,8 @@ def overlap_mapping(labels: DataFrame, fraction: float = vocab.OVERLAP_FRACTION)
     if fraction < 0.5:
         best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("b"))).alias("m")
         out = out.groupBy("field_id", "t", "a").agg(best).select("field_id", "t", "a", "m.b", (-F.col("m.o")).alias("overlap"))
+        best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("a"))).alias("m")
+        out = out.groupBy("field_id", "t", "b").agg(best).select("field_id", "t", "m.a", "b", (-F.col("m.o")).alias("overlap"))
     return out
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tendril.operators import costmap, graph, matching, spatial, topology, tracking
+from tendril.operators import costmap, fields, graph, matching, spatial, topology, tracking
 from tendril.operators.fields import FULL
 
 
@@ -259,3 +259,13 @@ def test_exact_matching_of_many_connected_points(spark):
     right = spark.createDataFrame([(0, i, i + 0.4, 0.0, 0.0) for i in range(n)], "g bigint, id bigint, x double, y double, z double")
     got = matching.exact_matching(left, right, 0.7).toPandas()
     assert len(got) == n and (got.l_id == got.r_id).all()
+
+
+def test_overlap_below_one_half_maps_each_label_once(spark):
+    """Two labels that become one, and one that becomes two: the larger overlap stays, ties go to the lower label."""
+    before = [1] * 6 + [2] * 5 + [3] * 8 + [4] * 4 + [5] * 4
+    after = [7] * 11 + [8] * 4 + [9] * 4 + [6] * 8
+    rows = [(0, t, x, 0, 0, label) for t, line in enumerate((before, after)) for x, label in enumerate(line)]
+    labels = spark.createDataFrame(rows, "field_id bigint, t int, x int, y int, z int, label bigint")
+    got = {tuple(r) for r in fields.overlap_mapping(labels, 0.4).select("t", "a", "b", "overlap").collect()}
+    assert got == {(0, 1, 7, 6), (0, 3, 8, 4), (0, 4, 6, 4)}
