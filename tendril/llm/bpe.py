@@ -27,6 +27,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Distinct words that a worker remembers, for as long as it lives; beyond it only those met again stay.
 MEMORY = 120_000
 CHARS = 1 << 20
+#: Bytes of a word up to which all words of a batch go byte by byte together; longer ones go alone, with the same result.
+STEPS = 64
+NEVER = np.iinfo(np.int64).max
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,6 +75,9 @@ class Vocabulary:
         order = np.argsort(codes)
         self.size, self.codes = size, np.append(codes[order], np.iinfo(np.int64).max)
         self.code_ranks = np.append(np.array([r for r, _ in self.merges.values()], np.int64)[order], 0)
+        self.code_wholes = np.append(np.array([w for _, w in self.merges.values()], np.int64)[order], 0)
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        self.grow()
         self.word = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, int] = {}
@@ -88,6 +94,85 @@ class Vocabulary:
         self.flat = self.flat[gather(self.begins[keep], lengths)]
         self.counts, self.begins, self.again = lengths, np.cumsum(lengths) - lengths, np.zeros(len(keep), bool)
 
+    def grow(self) -> None:
+        """The tree of the tokens' prefixes: steps (node * 256 + byte) in order, the node behind each, the token of each node."""
+        nodes, steps, token = {b"": 0}, [], [-1]
+        for text, i in self.ids.items():
+            node = 0
+            for k in range(1, len(text) + 1):
+                if (to := nodes.get(text[:k])) is None:
+                    to = nodes[text[:k]] = len(token)
+                    steps.append((node * 256 + text[k - 1], to))
+                    token.append(-1)
+                node = to
+            token[node] = i
+        steps.sort()
+        self.steps = np.array([*[c for c, _ in steps], NEVER], np.int64)
+        self.behind = np.array([*[n for _, n in steps], 0], np.int64)
+        self.token = np.array(token, np.int64)
+
+    def propose(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The greedy longest matches of all words at once: at each byte where a token begins its id, elsewhere -1."""
+        out = np.full(len(data), -1, np.int64)
+        at, pos, stop, end = start, start, start, end
+        node, best = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        while len(at):
+            inside = pos < end
+            code = node * 256 + data[np.where(inside, pos, at)]
+            k = np.searchsorted(self.steps, code)
+            hit = inside & (self.steps[k] == code)
+            node, pos = self.behind[k], pos + 1
+            token = self.token[node]
+            whole = hit & (token >= 0)
+            best, stop = np.where(whole, token, best), np.where(whole, pos, stop)
+            done = np.flatnonzero(~hit)
+            if len(done):
+                out[at[done]] = best[done]
+                at = at.copy()
+                at[done] = pos[done] = stop[done]
+                node[done], best[done] = 0, -1
+                live = at < end
+                at, pos, stop, end, node, best = (x[live] for x in (at, pos, stop, end, node, best))
+        return out
+
+    def merge_all(self, data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of all words at once, in each round the first of the lowest rank of each word: places and tokens."""
+        where = gather(start, lengths)
+        token = self.byte_ids[data[where]]
+        rank = np.full(len(token), NEVER >> 32, np.int64)
+        ends = np.cumsum(lengths)
+        last = np.zeros(len(token), bool)
+        last[ends - 1] = True
+        places, tokens = [], []
+
+        def look(i: np.ndarray) -> None:
+            i = i[~last[i]]
+            code = token[i] * self.size + token[i + 1]
+            k = np.searchsorted(self.codes, code)
+            rank[i] = np.where(self.codes[k] == code, self.code_ranks[k], NEVER >> 32)
+
+        look(np.arange(len(token)))
+        while len(lengths):
+            first = np.cumsum(lengths) - lengths
+            least = np.minimum.reduceat((rank << 32) + np.arange(len(rank)), first)
+            go = (least >> 32) < (NEVER >> 32)
+            if not go.all():
+                of = np.repeat(go, lengths)
+                places.append(where[~of])
+                tokens.append(token[~of])
+                least = least[go] - np.repeat(np.cumsum(np.where(go, 0, lengths)), go)
+                where, token, rank, last, lengths = where[of], token[of], rank[of], last[of], lengths[go]
+            i = least & 0xFFFFFFFF
+            token[i] = self.code_wholes[np.searchsorted(self.codes, token[i] * self.size + token[i + 1])]
+            last[i] = last[i + 1]
+            rank[i] = NEVER >> 32
+            keep = np.ones(len(token), bool)
+            keep[i + 1] = False
+            i = i - np.arange(len(i))
+            where, token, rank, last, lengths = where[keep], token[keep], rank[keep], last[keep], lengths - 1
+            look(np.concatenate([i, i[i > 0] - 1]))
+        return np.concatenate([np.empty(0, np.int64), *places]), np.concatenate([np.empty(0, np.int64), *tokens])
+
     def greedy(self, word: bytes) -> list[int]:
         ids, out, i, n = self.ids, [], 0, len(word)
         while i < n:
@@ -124,31 +209,42 @@ class Vocabulary:
             live, a, b, bound, strict = live[go], a[go], b[go], bound[go], strict[go]
         return good
 
-    def merge(self, word: bytes) -> list[int]:
-        """The merges themselves: again and again the first of the lowest rank."""
-        out = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        get = self.merges.get
-        while len(out) > 1:
-            best = min(((m[0], i, m[1]) for i in range(len(out) - 1) if (m := get((out[i], out[i + 1])))), default=None)
-            if best is None:
-                break
-            out[best[1] : best[1] + 2] = [best[2]]
-        return out
-
     def learn(self, fresh: list[str]) -> None:
         """Adds words: proposals for all, checks of all their pairs at once, merges for the rest."""
         raw = [w.encode() for w in fresh]
-        tokens = [self.greedy(w) for w in raw]
-        counts = np.array([len(t) for t in tokens], np.int64)
-        flat = np.array([x for t in tokens for x in t], np.int64)
-        of = np.repeat(np.arange(len(tokens)), counts)
+        lengths = np.array([len(w) for w in raw], np.int64)
+        start = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        short = lengths <= STEPS
+        # at[i] is the token that begins at byte i, -1 inside of tokens.
+        at = self.propose(data, start[short], (start + lengths)[short])
+        for w in np.flatnonzero(~short).tolist():
+            self.put(at, start[w], self.greedy(raw[w]))
+        of = np.repeat(np.arange(len(raw)), lengths)[at >= 0]
+        flat = at[at >= 0]
         inside = of[:-1] == of[1:]
         code, back = np.unique((flat[:-1] * self.size + flat[1:])[inside], return_inverse=True)
         fine = self.compatible(code // self.size, code % self.size)
-        for w in np.unique(of[:-1][inside][~fine[back]]):
-            tokens[w] = self.merge(raw[w]) if len(raw[w]) < 400 else self.merge_long(raw[w])
-        self.counts = np.concatenate([self.counts, [len(t) for t in tokens]]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.array([x for t in tokens for x in t], np.int32)])
+        wrong = np.unique(of[:-1][inside][~fine[back]])
+        together = wrong[short[wrong]]
+        at[gather(start[together], lengths[together])] = -1
+        places, tokens = self.merge_all(data, start[together], lengths[together])
+        at[places] = tokens
+        for w in wrong[~short[wrong]].tolist():
+            at[start[w] : start[w] + lengths[w]] = -1
+            self.put(at, start[w], self.merge_long(raw[w]))
+        self.counts = np.concatenate([self.counts, np.add.reduceat((at >= 0).astype(np.int64), start)])
+        self.flat = np.concatenate([self.flat, at[at >= 0].astype(np.int32)])
+
+    def put(self, at: np.ndarray, start: int, tokens: list[int]) -> None:
+        """Writes the tokens of one word to the bytes where they begin."""
+        ids = np.array(tokens, np.int64)
+        at[start + np.cumsum(self.lengths[ids]) - self.lengths[ids]] = ids
+
+    def merge(self, word: bytes) -> list[int]:
+        """The merges of one word."""
+        places, tokens = self.merge_all(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))
+        return tokens[np.argsort(places)].tolist()
 
     def merge_long(self, word: bytes) -> list[int]:
         """Same result with a heap of candidate merges, for words without bounded length."""
