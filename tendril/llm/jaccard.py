@@ -3,8 +3,8 @@
 A set is represented by its minima under ``TOKENS`` hash functions; two sets share about as many of
 them as their similarity. At a node every set follows the tokens whose hash, seeded by the node,
 is small enough: ``SPREAD`` shared ones are expected for a pair at the threshold, so it stays together with
-probability ``1 - exp(-SPREAD)``. ``RUNS`` independent trees bring the chance to lose a pair down to about
-``exp(-RUNS * (1 - exp(-DEEPER)))``, the recall that is asked for.
+probability ``1 - exp(-SPREAD)``, and ``DEEPER`` ones at each node below, however often buckets are split
+again. Independent trees bring the chance to lose a pair down to the recall that is asked for (``runs_for``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import gather, mix, rolling, row_groups, spans_hash, text_buffer
+from tendril.llm.common import gather, mix, rolling, row_groups, strong_hash, text_buffer
 from tendril.llm.segments import LAST, normal_words, numbered
 from tendril.session import materialize
 
@@ -31,8 +31,15 @@ DENSE = 0.7
 
 
 def runs_for(recall: float) -> int:
-    """Trees after which a pair at the threshold is lost with probability ``1 - recall`` at most."""
-    return int(np.ceil(-np.log(1 - recall) / (SPREAD * (1 - np.exp(-DEEPER)))))
+    """Trees after which a pair at the threshold is lost with probability ``1 - recall`` at most, at any depth.
+
+    A node loses a pair if all shared children do: with each further level that chance rises to the
+    fixed point of ``lost = exp(-DEEPER * (1 - lost))``.
+    """
+    lost, before = np.exp(-DEEPER), 0.0
+    while lost - before > 1e-12:
+        lost, before = np.exp(-DEEPER * (1 - lost)), lost
+    return int(np.ceil(-np.log(1 - recall) / (SPREAD * (1 - lost))))
 
 
 def seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +56,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(offsets) - 1
     if not len(row):
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
-    word = spans_hash(flat, at[:-1], at[1:] - 1)
+    word = strong_hash(flat, at[:-1], at[1:] - 1)
     runs = rolling(word, WORDS)
     whole = row[: len(runs)] == row[len(row) - len(runs) :]
     of, value = row[: len(runs)][whole], runs[whole]
     short = np.flatnonzero((per_row > 0) & (per_row < WORDS))
     if len(short):
         first = np.cumsum(per_row) - per_row
-        texts = spans_hash(flat, at[first[short]], at[first[short] + per_row[short]] - 1)
+        texts = strong_hash(flat, at[first[short]], at[first[short] + per_row[short]] - 1)
         of, value = np.concatenate([of, short]), np.concatenate([value, texts])
     order = np.lexsort((value, of))
     of, value = of[order], value[order]
@@ -148,16 +155,15 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("blocks", "other")
 
 
-def pairs_of(part: np.ndarray, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of a block, or of the two different blocks, some rows at a time."""
-    blocks = np.unique(part)
-    if len(blocks) == 1:
+def pairs_of(part: np.ndarray, first: int, second: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of a block, or of the two different blocks, either of which may be empty, some rows at a time."""
+    if first == second:
         n = len(part)
         for lo in range(0, n, rows):
             i, j = np.nonzero(np.arange(lo, min(n, lo + rows))[:, None] < np.arange(n)[None])
             yield i + lo, j
     else:
-        a, b = np.flatnonzero(part == blocks[0]), np.flatnonzero(part == blocks[1])
+        a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
         for lo in range(0, len(a), rows):
             yield np.repeat(a[lo : lo + rows], len(b)), np.tile(b, len(a[lo : lo + rows]))
 
@@ -185,7 +191,7 @@ def candidates(members: DataFrame) -> DataFrame:
         own = np.full((len(cls), width), LAST, np.int64)
         own[np.repeat(np.arange(len(cls)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = flat
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, j in pairs_of(part):
+        for i, j in pairs_of(part, get("lo")[0], get("hi")[0]):
             at = alike(sketch, size, i, j)
             for lo in range(0, len(at), 4096):
                 a, b = i[at[lo : lo + 4096]], j[at[lo : lo + 4096]]

@@ -187,7 +187,37 @@ def test_near_duplicates(spark, copies):
 def test_near_duplicates_recall():
     """Even at the threshold itself the trees lose no more pairs than the recall allows."""
     assert jaccard.runs_for(0.999) >= 8
-    assert np.exp(-jaccard.runs_for(0.999) * (1 - np.exp(-jaccard.DEEPER))) <= 0.001
+    lost = 0.0  # by levels below a node, many of them
+    for _ in range(200):
+        lost = np.exp(-jaccard.DEEPER * (1 - lost))
+    assert np.exp(-jaccard.runs_for(0.999) * jaccard.SPREAD * (1 - lost)) <= 0.001
+
+
+def test_near_duplicates_recall_over_several_splits(spark, monkeypatch):
+    """Planted pairs just above the threshold: all texts share a passage, so that small buckets take several splits."""
+    monkeypatch.setattr(jaccard, "LIMIT", 4)
+    rng = np.random.default_rng(31)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    frame, texts = new(160), []
+    for _ in range(300):
+        own = new(200)
+        texts += [" ".join([*frame, *own, *new(int(k))]) for k in rng.integers(30, 40, 2)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCUMENTS)
+    shingled = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    like = [len(a & b) / len(a | b) for a, b in zip(shingled[::2], shingled[1::2], strict=True)]
+    assert 0.8 <= min(like) and max(like) < 0.86
+    # Texts of different pairs share the passage alone, too little for a link.
+    links = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes_of(docs).collect()}
+    found = sum(links[i] == links[i + 1] == (i, 1) for i in range(0, len(texts), 2))
+    assert found / 300 >= 0.996
+
+
+def test_texts_that_collide_in_polynomials_are_no_copies(spark):
+    """Words of the Thue-Morse text and of its mirror image differ, and so do the texts made of them."""
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    mirror = thue.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([row(i, f"one two {m} three four") for i, m in enumerate((thue, mirror, thue))], DOCUMENTS)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes_of(docs).collect()} == {0: (0, 1), 1: (1, 0), 2: (0, 1)}
 
 
 def test_near_duplicates_in_blocks(spark, copies, monkeypatch):
