@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from tendril.operators import topology
+from tendril.operators import compare, fields, graph, topology
 from tendril.session import materialize
 
 
@@ -31,3 +31,23 @@ def test_basins_alone_make_no_saddles(spark):
     assert not {"saddles", "pairs"} & set(vars(tree))
     assert {(r.node.p.x, r.top.p.x) for r in tree.tops.collect()} == {(0, 1), (1, 1), (2, 1), (3, 3), (4, 3)}
     assert [(r.top.v, r.saddle.v) for r in tree.pairs.collect()] == [(4.0, 2.0)]
+
+
+def test_lattice_bounds_go_to_every_task(spark):
+    """A join by field put all neighbours of a field into one task."""
+    rows = [("f", 0, x, y, 0) for x in range(3) for y in range(2)]
+    v = materialize(spark.createDataFrame(rows, "field_id string, t int, x int, y int, z int"), "voxels")
+    dims = v.groupBy("field_id").agg((F.max("x") + 1).alias("nx"), F.lit(2).alias("ny"), F.lit(1).alias("nz"))
+    near = fields.neighbours_of(v, 6, ["field_id", "t", "x", "y", "z"], dims=dims)
+    assert "BroadcastHashJoin" in plan_of(near)
+    got = {(r.x, r.y): r.n for r in near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(x, y): 3 if x == 1 else 2 for x in range(3) for y in range(2)}
+
+
+def test_resampled_lengths_list_no_points(spark):
+    rows = [("g", 1, 0, 0.0, 0.0, 0.0), ("g", 1, 1, 3.0, 4.0, 0.0), ("g", 1, 2, 3.0, 4.0, 0.5), ("g", 2, 0, 1.0, 1.0, 1.0), ("g", 3, 0, 0.0, 0.0, 0.0), ("g", 3, 1, 1e9, 0.0, 0.0)]
+    pts = spark.createDataFrame(rows, "graph_id string, e long, ord int, x double, y double, z double")
+    got = {r.e: round(r.length, 6) for r in compare.resampled_lengths(pts, 2.0).collect()}  # edge 3 would have half a thousand million points
+    assert got == {1: 5.5, 2: 0.0, 3: 1e9}
+    short = pts.filter("e < 3")
+    assert {r.e: round(r.length, 6) for r in graph.edge_lengths(compare.resample(short, 2.0)).collect()} == {1: 5.5, 2: 0.0}
