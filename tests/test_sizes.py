@@ -3,9 +3,10 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tendril.operators import compare, fields, graph, topology
+from tendril.operators import compare, costmap, fields, graph, topology
 from tendril.session import materialize
 
 
@@ -51,3 +52,23 @@ def test_resampled_lengths_list_no_points(spark):
     assert got == {1: 5.5, 2: 0.0, 3: 1e9}
     short = pts.filter("e < 3")
     assert {r.e: round(r.length, 6) for r in graph.edge_lengths(compare.resample(short, 2.0)).collect()} == {1: 5.5, 2: 0.0}
+
+
+def test_blocks_grow_along_a_thin_field(spark):
+    assert costmap.block_shape((6000, 7, 12)) == (1024, 8, 16)  # 188 cubes of 32 along x, 6 blocks now
+    assert costmap.block_shape((1, 1, 1)) == (2, 2, 2)
+    x, y, z = costmap.block_shape((500, 500, 500))
+    assert x * y * z <= costmap.LARGER * costmap.BLOCK**3 and min(x, y, z) >= costmap.BLOCK
+
+
+def test_first_of_equal_ways(spark, monkeypatch):
+    """Distances and directions do not depend on how a field is cut."""
+    rng = np.random.default_rng(11)
+    rows = [("f", 0, x, y, 0, float(rng.integers(1, 4))) for x in range(40) for y in range(5)]
+    v = spark.createDataFrame(rows, "field_id string, t int, x int, y int, z int, value double")
+    root = v.filter("x = 20 and y = 2")
+    got = []
+    for block in (4, 32):
+        monkeypatch.setattr(costmap, "BLOCK", block)
+        got.append({(r.x, r.y): (r.dist, r.prior) for r in costmap.cost_distance(v, root).collect()})
+    assert got[0] == got[1]
