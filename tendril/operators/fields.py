@@ -311,15 +311,36 @@ def deconvolve(image: DataFrame, kernel: DataFrame, rounds: int = 10, step: floa
     return est.select(*key, F.col("f").alias("value"))
 
 
+#: Edge of the blocks of voxels that points are sampled in.
+CELL = 4
+
+
 def sample_trilinear(points: DataFrame, voxels: DataFrame, keys: list[str]) -> DataFrame:
-    """Field values at fractional positions: eight corners joined by equality, weights summed;
-    positions without data count as 0. ``points`` needs a unique ``id``."""
-    corners = F.array(*[F.struct(*[F.lit((n >> b) & 1).alias(c) for b, c in enumerate(POS)]) for n in range(8)])
-    p = points.withColumn("_k", F.explode(corners))
-    w = F.lit(1.0)
-    for c in POS:
-        frac = F.col(c) - F.floor(c)
-        w = w * F.when(F.col(f"_k.{c}") == 1, frac).otherwise(1 - frac)
-    probe = p.select(*keys, "id", w.alias("_w"), *[(F.floor(c) + F.col(f"_k.{c}")).cast("int").alias(c) for c in POS])
-    got = probe.join(voxels.select(*keys, *POS, "value"), [*keys, *POS], "left")
-    return got.groupBy(*keys, "id").agg(F.sum(F.col("_w") * F.coalesce("value", F.lit(0.0))).alias("value"))
+    """Field values at fractional positions: the eight corners of a point, weighted and summed;
+    positions without data count as 0. ``points`` needs a unique ``id``.
+
+    Voxels are gathered in blocks of ``CELL**3`` with the upper faces of the next ones, at most
+    ``(CELL + 1)**3`` positions, and each point meets the one block that has all its corners. So a
+    point travels once, and a voxel twice on average, instead of eight corners twice each.
+    """
+    cell = [f"_b{c}" for c in POS]
+    near = voxels.select(*keys, *POS, "value").filter(F.col("value").isNotNull())
+    for c, b in zip(POS, cell):
+        own = F.floor(F.col(c) / CELL).cast("int")
+        near = near.withColumn(b, F.explode(F.when(F.pmod(F.col(c), F.lit(CELL)) == 0, F.array(own, own - 1)).otherwise(F.array(own))))
+    blocks = near.groupBy(*keys, *cell).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in POS], F.col("value").cast("double").alias("value"))).alias("_near"))
+    at = points.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in POS], *[F.floor(F.floor(c) / CELL).cast("int").alias(b) for c, b in zip(POS, cell)])
+
+    def part(v):
+        """What a voxel gives to the point: nothing unless it is one of the eight corners."""
+        weight, corner = F.lit(1.0), F.lit(True)
+        for c in POS:
+            frac, off = F.col(c) - F.floor(c), v[c] - F.floor(c)
+            weight = weight * F.when(off == 1, frac).otherwise(1 - frac)
+            corner = corner & off.isin(0, 1)
+        return F.when(corner, weight * v["value"]).otherwise(0.0)
+
+    total = F.aggregate("_near", F.lit(0.0), lambda acc, v: acc + part(v))
+    got = at.join(blocks, [*keys, *cell], "left")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    return got.select(*keys, "id", F.when(known, F.coalesce(total, F.lit(0.0))).alias("value"))

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -72,3 +73,22 @@ def test_first_of_equal_ways(spark, monkeypatch):
         monkeypatch.setattr(costmap, "BLOCK", block)
         got.append({(r.x, r.y): (r.dist, r.prior) for r in costmap.cost_distance(v, root).collect()})
     assert got[0] == got[1]
+
+
+def test_trilinear_samples_travel_once(spark):
+    rng = np.random.default_rng(4)
+    value = {(x, y, z): float(rng.integers(0, 50)) for x in range(-3, 7) for y in range(6) for z in range(5) if rng.random() < 0.8}
+    v = spark.createDataFrame([(0, *p, w) for p, w in value.items()] + [(0, 40, 0, 0, float("nan")), (0, 41, 1, 1, 7.0)], "t int, x int, y int, z int, value double")
+    at = [tuple(float(c) for c in rng.uniform(-4, 8, 3)) for _ in range(200)] + [(3.0, 3.0, 3.0), (-1.0, 0.5, 4.0), (41.5, 1.0, 1.0)]
+    pts = materialize(spark.createDataFrame([(0, i, *p) for i, p in enumerate(at)], "t int, id int, x double, y double, z double"), "pts")
+    out = fields.sample_trilinear(pts, v, ["t"])
+    assert "Expand" not in plan_of(out) and plan_of(out).count("explode") == 3  # the voxels' three axes; points are not multiplied
+    got = {r.id: r.value for r in out.collect()}
+    value[(41, 1, 1)] = 7.0
+    for i, p in enumerate(at):
+        want, low = 0.0, [math.floor(c) for c in p]
+        for n in range(8):
+            o = [(n >> k) & 1 for k in range(3)]
+            w = math.prod((c - l) if b else 1 - (c - l) for c, l, b in zip(p, low, o))
+            want += w * value.get(tuple(l + b for l, b in zip(low, o)), 0.0)
+        assert math.isclose(got[i], want, abs_tol=1e-9), (i, p)
