@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tendril.operators import compare, costmap, fields, graph, topology
+from tendril.operators import compare, costmap, fields, graph, spatial, topology
 from tendril.session import materialize
 
 
@@ -92,3 +92,18 @@ def test_trilinear_samples_travel_once(spark):
             w = math.prod((c - l) if b else 1 - (c - l) for c, l, b in zip(p, low, o))
             want += w * value.get(tuple(l + b for l, b in zip(low, o)), 0.0)
         assert math.isclose(got[i], want, abs_tol=1e-9), (i, p)
+
+
+def test_nearest_lists_no_pairs_of_points(spark):
+    rng = np.random.default_rng(8)
+    at = {s: [(i % 2, i, *p) for i, p in enumerate(np.round(rng.normal(0, 1, (n, 3)), 2).tolist())] for s, n in (("l", 700), ("r", 900))}
+    side = {s: spark.createDataFrame(rows, "g int, id long, x double, y double, z double") for s, rows in at.items()}
+    holes = spark.createDataFrame([(0, 5000, None, 0.0, 0.0), (1, 5001, float("nan"), 0.0, 0.0)], "g int, id long, x double, y double, z double")
+    out = spatial.nearest(side["l"].unionByName(holes), side["r"].unionByName(holes))
+    assert "closest(" in plan_of(out)  # tiles meet, one row each
+    got = {r.l_id: (r.r_id, round(r.dist, 9)) for r in out.collect()}
+    for g, i, *p in at["l"]:
+        d, r = min((sum((a - b) ** 2 for a, b in zip(p, q)), j) for h, j, *q in at["r"] if h == g)
+        assert got[i] == (r, round(math.sqrt(d), 9))
+    assert len(got) == 700
+    assert {r.l_id for r in spatial.nearest(side["l"], side["r"], 0.2).collect()} == {i for i, (_, d) in got.items() if d < 0.2}
