@@ -118,19 +118,26 @@ def label_centres(labels: DataFrame, voxel: tuple[float, float, float] = (1.0, 1
     """``(field_id, t, label, x, y, z, depth)``: the voxel of each label farthest from outside.
 
     The nearest outside voxel always touches the label, so only touching positions are
-    searched. Ties go to the lowest x-fastest position.
+    searched. A voxel with a free neighbour along an axis of the least spacing cannot be
+    nearer to the outside, so only the others look for it. Ties go to the lowest x-fastest position.
     """
-    lab = materialize(labels.filter("label <> 0").select("field_id", "t", "label", *POS), "labels")
-    touching = neighbours_of(lab, 6, ["field_id", "t", "label"]).distinct()
-    outside = touching.join(
-        lab.select("field_id", "t", "label", *[F.col(c).alias(f"n_{c}") for c in POS]), ["field_id", "t", "label", "n_x", "n_y", "n_z"], "left_anti"
-    )
-    g = F.struct("field_id", "t", "label").alias("g")
-    scaled = lambda names: [(F.col(n) * float(s)).alias(c) for n, c, s in zip(names, POS, voxel)]
+    keys = ["field_id", "t", "label"]
+    lab = labels.filter("label <> 0").select(*keys, *POS)
+    least = min(voxel)
+    close = [c for c, s in zip(POS, voxel) if s == least]
+    side = "CASE " + " ".join(f"WHEN n_{c} < {c} THEN {1 << 2 * k} WHEN n_{c} > {c} THEN {2 << 2 * k}" for k, c in enumerate(close)) + " ELSE 0 END"
+    closed = (1 << 2 * len(close)) - 1
+    # Every voxel and its neighbours' places together: a place without a voxel of its own is outside.
+    around = neighbours_of(lab, 6, [*keys, *POS]).select(*keys, *[F.col(f"n_{c}").alias(c) for c in POS], F.lit(0).alias("own"), F.expr(side).alias("near"))
+    places = lab.select(*keys, *POS, F.lit(1).alias("own"), F.lit(0).alias("near")).unionByName(around)
+    places = materialize(places.groupBy(*keys, *POS).agg(F.max("own").alias("own"), F.bit_or("near").alias("near")), "places")
+    inner = places.filter((F.col("own") == 1) & (F.col("near") == closed))
+    outside = places.filter("own = 0").join(inner.select(*keys).distinct(), keys, "left_semi")
+    g = F.struct(*keys).alias("g")
+    scaled = [(F.col(c) * float(s)).alias(c) for c, s in zip(POS, voxel)]
     order = F.struct("z", "y", "x").alias("id")
-    left = lab.select(g, order, *scaled(POS))
-    right = outside.select(g, F.struct(F.col("n_z").alias("z"), F.col("n_y").alias("y"), F.col("n_x").alias("x")).alias("id"), *scaled(["n_x", "n_y", "n_z"]))
-    depth = spatial.nearest(left, right)
+    rim = places.filter((F.col("own") == 1) & (F.col("near") != closed)).select(g, order.alias("l_id"), F.lit(float(least)).alias("dist"))
+    depth = rim.unionByName(spatial.nearest(inner.select(g, order, *scaled), outside.select(g, order, *scaled)).select("g", "l_id", "dist"))
     best = depth.groupBy("g").agg(F.min(F.struct((-F.col("dist")).alias("d"), F.col("l_id").alias("p"))).alias("m"))
     return best.select("g.field_id", "g.t", "g.label", "m.p.x", "m.p.y", "m.p.z", (-F.col("m.d")).alias("depth"))
 

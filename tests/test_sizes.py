@@ -94,6 +94,26 @@ def test_trilinear_samples_travel_once(spark):
         assert math.isclose(got[i], want, abs_tol=1e-9), (i, p)
 
 
+def test_label_centres_search_from_inside_only(spark, monkeypatch):
+    """Voxels next to a free place are settled; before, every voxel met all points of the tiles around it."""
+    block = [(0, 1, x, y, z) for x in range(7) for y in range(5) for z in range(5)]
+    flat = [(0, 2, x, y, 0) for x in range(20) for y in range(4)]
+    lab = spark.createDataFrame([("f", *r) for r in block + flat + flat[:3]], "field_id string, t int, label int, x int, y int, z int")
+    asked = []
+    real = fields.spatial.nearest
+    monkeypatch.setattr(fields.spatial, "nearest", lambda left, right: asked.append(left.count()) or real(left, right))
+    got = {r.label: (r.x, r.y, r.z, r.depth) for r in fields.label_centres(lab).collect()}
+    assert got == {1: (2, 2, 2, 3.0), 2: (0, 0, 0, 1.0)} and asked == [5 * 3 * 3]
+    size = (1.0, 2.5, 1.0)
+    got = {r.label: (r.x, r.y, r.z, round(r.depth, 9)) for r in fields.label_centres(lab, size).collect()}
+    for label, cells in ((1, block), (2, flat)):
+        cells = {c[2:] for c in cells}
+        free = {tuple(p[k] + (s if k == a else 0) for k in range(3)) for p in cells for a in range(3) for s in (-1, 1)} - cells
+        depth = {p: min(math.sqrt(sum(((a - b) * w) ** 2 for a, b, w in zip(p, q, size))) for q in free) for p in cells}
+        best = min(cells, key=lambda p: (-round(depth[p], 9), p[2], p[1], p[0]))
+        assert got[label] == (*best, round(depth[best], 9))
+
+
 def test_nearest_lists_no_pairs_of_points(spark):
     rng = np.random.default_rng(8)
     at = {s: [(i % 2, i, *p) for i, p in enumerate(np.round(rng.normal(0, 1, (n, 3)), 2).tolist())] for s, n in (("l", 700), ("r", 900))}
