@@ -26,6 +26,13 @@ def daily(spark, d):
     )
 
 
+def daily_lengths(spark, d):
+    """Sums of each day in order of the events: speeds of exactly 25 would fall on either side by the order of a sum."""
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    events = table(spark, d, "events").select("user_id", day.alias("t"), "event_id", "value")
+    return O.sums_in_order(events, ["user_id", "t"], "event_id", "value", "length"), events.agg(F.max("t"))
+
+
 SPEED = "WITH" + DAILY + """,
 life AS (SELECT user_id, min(t) AS a, max(t) AS b FROM daily GROUP BY user_id),
 pad AS (
@@ -55,8 +62,8 @@ sp AS (SELECT user_id, t, v FROM sp0 WHERE v IS NOT NULL)
     """,
 )
 def speed_events(spark, d):
-    lengths = daily(spark, d)
-    out = S.speed_table(S.speeds(lengths, ["user_id"], lengths.agg(F.max("t"))), ["user_id"], 25.0)
+    lengths, last = daily_lengths(spark, d)
+    out = S.speed_table(S.speeds(lengths, ["user_id"], last), ["user_id"], 25.0)
     cols = [c for c, k in out.dtypes if k == "double"]
     return out.select(*[F.round(c, 5 if c.endswith("compat") else 6).alias(c) if c in cols else F.col(c) for c in out.columns])
 
@@ -69,8 +76,8 @@ def speed_events(spark, d):
     """,
 )
 def speed_classes(spark, d):
-    lengths = daily(spark, d)
-    ev = S.speeds(lengths, ["user_id"], lengths.agg(F.max("t")))
+    lengths, last = daily_lengths(spark, d)
+    ev = S.speeds(lengths, ["user_id"], last)
     return ev.groupBy(S.speed_class("speed", 25.0).alias("class"), "t").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("speed"), 4).alias("total")
     )

@@ -99,6 +99,33 @@ def test_opacity_above_one_is_not_a_number(spark):
     assert got[2][0] == 1 and math.isclose(got[2][1], 0.68) and got[3] == (1, 1.0)
 
 
+def test_sums_follow_the_order_of_the_rows(spark, monkeypatch):
+    big = [1e16, 1.0, 1.0, -1e16, None, 3.0]  # one after another 1.0 is lost twice
+    rows = [(k, i, v) for i, v in enumerate(big) for k in range(50)] + [(99, 0, None)]
+    df = spark.createDataFrame(rows[::-1], "k int, at long, v double").repartition(7)
+    want = {k: 3.0 for k in range(50)} | {99: None}
+    for stretch in (1 << 20, 1):
+        monkeypatch.setattr(O, "STRETCH", stretch)
+        assert {r.k: r.s for r in O.sums_in_order(df, ["k"], "at", "v", "s").collect()} == want
+
+
+def test_speeds_at_the_limit(spark, tmp_path):
+    """134.8 added up in another order is 134.80000000000001, and 25 above 109.8 no more."""
+    import datetime as dt
+
+    from tendril.plans.series import speed_classes, speed_events
+
+    a, b, c = next((a / 100, b / 100, c / 100) for a in range(1, 4000, 7) for b in range(3, 4000, 11) for c in (333, 1777)
+                   if (a / 100 + b / 100) + c / 100 - ((a + b + c - 2500) / 100) <= 25.0 < a / 100 + (b / 100 + c / 100) - ((a + b + c - 2500) / 100) and a + b + c > 2600)
+    day = lambda t: dt.datetime(2024, 1, 1 + t, 12)
+    rows = [(3 * u + i, day(0), u, v) for u in range(40) for i, v in enumerate((a, b, c))]
+    rows += [(1000 + u, day(1), u, (round(100 * (a + b + c)) - 2500) / 100) for u in range(40)]
+    # Many files, so that a plain sum would add up the values of a day as their tasks end.
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp_ntz, user_id long, value double").withColumn("event_type", F.lit("view")).repartition(40).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.n_static for r in speed_events(spark, str(tmp_path)).collect()} == {1}
+    assert {(r["class"], r.n) for r in speed_classes(spark, str(tmp_path)).collect()} == {("static", 40)}
+
+
 def test_skew_join_and_rank(spark):
     facts = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "k int, v int")
     dims = spark.createDataFrame([(i, i * 10) for i in range(300)], "k int, w int")
