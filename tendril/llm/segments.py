@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendril.llm.common import binaries, gather, mix, rolling, row_groups, slices, sliding_min, spans_hash, strong_hash, text_buffer, words
-from tendril.session import materialize
+from tendril.session import materialize, size_batches
 
 #: Windows of a segment at most: a long run of one anchor (text that repeats itself) is cut.
 MOST = 64
@@ -27,13 +27,15 @@ MOST = 64
 #: most. It lets false ones pass, so its size changes the traffic, never the result.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of segments that a kernel takes at once; whole anchors stay together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of different segments from which an anchor is too frequent for one task.
-FREQUENT = CHUNK
+FREQUENT = 1 << 20
+#: Bytes that are cut into segments at once: hashes take several times eight as much, and should stay in the processor's cache.
+PIECE = 1 << 17
 #: Bytes of whole documents that a task handles at once, whatever the batch.
 GROUP = 1 << 22
-#: Segments and windows of a batch that are held before equal ones become one.
-ROWS = 1 << 20
+#: Segments and windows of a task that are held before equal ones become one.
+ROWS = 1 << 18
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
@@ -98,7 +100,7 @@ def cut(column: pa.Array, scheme: Scheme, census: bool = False, frequent: np.nda
     anchor, bytes, from, length, whether it is a single window of a ``frequent`` anchor); the fourth only for the ``census``."""
     data, offsets = text_buffer(column)
     if not scheme.by_word:
-        for lo, hi in slices(len(data)):
+        for lo, hi in slices(len(data), PIECE):
             part = data[lo : hi + scheme.width - 1]
             n = len(part) - scheme.width + 1
             if n <= 0:
@@ -262,7 +264,7 @@ SEGMENT = "anchor bigint, content binary, doc bigint, row bigint, start bigint,
 
 
 def occurrences(docs: DataFrame, scheme: Scheme, table: tuple[np.ndarray, np.ndarray], other_docs: bool) -> DataFrame:
-    """SEGMENT rows: segments whose anchor passes the table, equal ones of a batch already as one.
+    """SEGMENT rows: segments whose anchor passes the table, equal ones of a task already as one (of ROWS at a time).
 
     Segments of a frequent anchor go as windows, each to the partition of its own name: what surrounds a
     frequent passage is spread over all tasks.
@@ -271,8 +273,9 @@ def occurrences(docs: DataFrame, scheme: Scheme, table: tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, frequent = shared.value
+        found, held = [], 0
         for batch in batches:
-            doc, ident, found, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], 0
+            doc, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for anchor, row, start, _, data, begin, length, alone in cut(batch.column(2), scheme, frequent=frequent):
                 hit = passing(bits, anchor)
                 for single in (False, True):
@@ -298,8 +301,8 @@ def occurrences(docs: DataFrame, scheme: Scheme, table: tuple[np.ndarray, np.nda
                     if held > ROWS // 2:
                         yield from found[0].combine_chunks().to_batches()
                         found, held = [], 0
-            if found:
-                yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches()
+        if found:
+            yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches()
 
     return docs.select("doc", "row", "text").mapInArrow(run, SEGMENT)
 
@@ -447,6 +450,7 @@ def covered(docs: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool) -
     what ``numbered`` returns. Spans of a document may overlap. Texts are read three times, which is cheaper than
     to store their segments.
     """
+    size_batches(docs.sparkSession)
     anchors = census(docs, scheme, other_docs)
     told = materialize(resolve(occurrences(docs, scheme, anchors, other_docs), scheme, kernel, other_docs), "told")
     own = places(docs, scheme, anchors, bit_table(told.select(F.col("h1").alias("anchor"))))

@@ -33,7 +33,7 @@ def suffixes(text: np.ndarray, longest: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - span] = rank[span:] + 1 if span < n else 0
         code = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)  # equal codes stand in any order until a later round tells them apart
         new = np.ones(n, bool)
         new[1:] = code[order[1:]] != code[order[:-1]]
         rank[order] = np.cumsum(new) - 1

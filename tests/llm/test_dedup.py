@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tendril.llm import jaccard, passages, segments, substrings
 from tests.llm.conftest import DOCUMENTS, prose, row, texts_of
@@ -115,6 +116,23 @@ def test_all_anchors_frequent(name, request, monkeypatch):
     assert got == Counter(words_brute(texts_of(df)))
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    """A batch of 10 000 long texts filled the JVM and the worker; equal segments of several batches of a task are one."""
+    import pyarrow as pa
+
+    from tendril.session import BATCH, size_batches
+
+    size_batches(spark)
+    text = prose(random.Random(3), words=2000)
+    docs = spark.range(1200).coalesce(1).selectExpr("id AS doc_id", "'x' AS source").withColumn("text", F.lit(text))
+    sizes = docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n bigint")
+    sizes = [r.n for r in sizes.collect()]
+    assert len(sizes) > 2 and max(sizes) <= BATCH + 2 * len(text)
+    plain, scheme = segments.numbered(docs, "doc_id", "text"), segments.Scheme(substrings.WIDTH, substrings.GRAM, False)
+    rows = segments.occurrences(plain, scheme, segments.census(plain, scheme, True), True).collect()
+    assert len(rows) == len({bytes(r.content) for r in rows}) and (0, 1199) in {(r.doc, r.more) for r in rows}
+
+
 def equal_windows(rng, n, width, low=3):
     sizes = np.array([rng.randint(width, width + 40) for _ in range(n)], np.int64)
     symbols = np.array([rng.randrange(low) for _ in range(int(sizes.sum()))], np.int64)

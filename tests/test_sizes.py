@@ -27,6 +27,16 @@ def test_a_packed_table_of_many_rows_is_not_broadcast(spark):
     assert "BroadcastHashJoin" in plan_of(more.join(few, "id"))
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    shuffled = spark.range(1000).repartition(4, "id")
+    want, before = shuffled.count(), held()
+    out = [materialize(shuffled.groupBy((F.col("id") % 7).alias("k")).count(), "few") for _ in range(3)]
+    assert held() <= before
+    assert [o.agg(F.sum("count")).first()[0] for o in out] == [want] * 3 and shuffled.count() == want
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_basins_alone_make_no_saddles(spark):
     rows = [("f", 0, x, 0, 0, float(v)) for x, v in enumerate([1, 5, 2, 4, 3])]
     tree = topology.MergeTree(spark.createDataFrame(rows, "field_id string, t int, x int, y int, z int, value double"))
