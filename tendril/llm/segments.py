@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendril.llm.common import binaries, gather, mix, rolling, row_groups, slices, sliding_min, spans_hash, strong_hash, text_buffer, words
-from tendril.session import materialize, size_batches
+from tendril.session import freed, materialize, size_batches
 
 #: Windows of a segment at most: a long run of one anchor (text that repeats itself) is cut.
 MOST = 64
@@ -212,7 +212,9 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> tuple[np.ndarra
     sent = docs.select("text").mapInArrow(run, "part bigint, keys binary, many bigint, weight bigint")
     frequent = [np.empty(0, np.uint64)]
     table = np.zeros(1 << (bits - 6), np.uint64)
-    for r in sent.groupBy("part").applyInArrow(meet, "part bigint, bits binary, frequent binary").collect():
+    with freed(docs.sparkSession):
+        met = sent.groupBy("part").applyInArrow(meet, "part bigint, bits binary, frequent binary").collect()
+    for r in met:
         at = r.part << (page - 6)
         table[at : at + (1 << (page - 6))] = np.frombuffer(r.bits, np.uint64)
         frequent.append(np.frombuffer(r.frequent, np.uint64))
@@ -233,7 +235,9 @@ def bit_table(values: DataFrame) -> np.ndarray:
 
     paged = values.withColumn("page", F.expr(f"shiftrightunsigned(anchor, {64 - bits + page})") if bits > page else F.lit(0).cast("bigint"))
     table = np.zeros(1 << (bits - 6), np.uint64)
-    for r in paged.groupBy("page").applyInArrow(pack, "page bigint, bits binary").collect():
+    with freed(values.sparkSession):
+        packed = paged.groupBy("page").applyInArrow(pack, "page bigint, bits binary").collect()
+    for r in packed:
         at = r.page << (page - 6)
         table[at : at + (1 << (page - 6))] = np.frombuffer(r.bits, np.uint64)
     return table

@@ -1,9 +1,10 @@
 """Repeated byte strings from Burrows-Wheeler transforms of shards, merged by refining their interleaving.
 
-Each shard sorts its own suffixes once. The merge starts with the shards one after another and, in each
+Each shard sorts its own suffixes once. The merge starts with the shards dealt by the first HEAD bytes of their rows, which a number holds, and, in each
 round, deals the rows into the buckets of the byte before them: after h rounds the rows stand in
 order of their first h bytes, and a border between rows that appears in round h has a common prefix of
-h - 1 bytes. After ``width`` rounds the rows between borders are the occurrences of one string.
+h - 1 bytes. After ``width`` rounds the rows between borders are the occurrences of one string. The rows of a shard keep
+their order, so all that is dealt is which shard a row is of.
 """
 
 from __future__ import annotations
@@ -20,16 +21,41 @@ from tendril.llm.common import gather, text_buffer
 WIDTH, GRAM = 50, 32
 #: Bytes of a shard, and of all shards that are merged at once.
 SHARD, MERGE = 1 << 18, 1 << 22
+#: Bytes that are compared at once.
+HEAD = 8
+
+
+def heads(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first HEAD bytes of each suffix as one number, zeros from its terminator on; whether a terminator is among them)."""
+    code, whole, span = text.astype(np.uint64), text != 0, 1
+    while span < HEAD:
+        ahead = np.where(whole[:-span], code[span:], 0) if span < len(text) else code[:0]
+        code <<= np.uint64(8 * span)
+        code[: len(ahead)] |= ahead
+        whole[: len(ahead)] &= whole[span:]
+        whole[len(ahead) :] = False
+        span *= 2
+    return code, ~whole
 
 
 def suffixes(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffix array by doubling. Terminators (below all bytes, in text order) are distinct, so ties end there."""
     n = len(text)
-    stops = text == 0
-    rank = text.astype(np.int64) + int(stops.sum())
-    rank[stops] = np.arange(int(stops.sum()))
-    span = 1
-    while True:
+    rank = np.empty(n, np.int64)
+    if text.dtype == np.uint8:
+        code, ended = heads(text)
+        order = np.argsort(code, kind="stable")
+        new = ended[order]
+        new[1:] |= code[order[1:]] != code[order[:-1]]
+        new[:1] = True
+        rank[order] = np.cumsum(new) - 1
+        span = HEAD
+    else:
+        stops = text == 0
+        rank[:] = text.astype(np.int64) + int(stops.sum())
+        rank[stops] = np.arange(int(stops.sum()))
+        span, new = 1, np.zeros(1, bool)
+    while not new.all() and span <= longest:
         after = np.zeros(n, np.int64)
         after[: n - span] = rank[span:] + 1 if span < n else 0
         code = rank * (int(rank.max()) + 2) + after
@@ -38,12 +64,11 @@ def suffixes(text: np.ndarray, longest: int) -> np.ndarray:
         new[1:] = code[order[1:]] != code[order[:-1]]
         rank[order] = np.cumsum(new) - 1
         span *= 2
-        if new.all() or span > longest:
-            return order
+    return order
 
 
 class Shard:
-    """Suffix array, transform and LF steps of segments, each ended by a terminator."""
+    """Suffix array and transform of segments, each ended by a terminator, and the heads of the rows."""
 
     def __init__(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, segs: np.ndarray):
         lengths = sizes[segs] + 1
@@ -59,33 +84,51 @@ class Shard:
         before = text[self.array - 1]
         before[np.isin(self.array, ends - lengths, assume_unique=True)] = 0  # the start of a segment follows a terminator
         self.before, self.stops = before, len(segs)
-        row = np.empty(len(text), np.int64)
-        row[self.array] = np.arange(len(text))
-        self.step = row[self.array - 1]  # the row of the suffix one byte longer
+        self.head = self.ended = None
+        if text.dtype == np.uint8:
+            self.head, self.ended = (x[self.array] for x in heads(text))
 
 
 def merged(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of all shards in order, common prefix of each with the row before, capped at ``width``)."""
-    bases = np.cumsum([0, *[len(s.before) for s in shards]])
     before = np.concatenate([s.before for s in shards])
-    step = np.concatenate([s.step + b for s, b in zip(shards, bases[:-1], strict=True)]).astype(np.int32)
-    stops = np.concatenate([np.arange(s.stops) + b for s, b in zip(shards, bases[:-1], strict=True)]).astype(np.int32)
-    m, n = len(stops), len(before)
-    rows = np.concatenate([stops, *[np.arange(s.stops, len(s.before)) + b for s, b in zip(shards, bases[:-1], strict=True)]]).astype(np.int32)
+    m, n = sum(s.stops for s in shards), len(before)
+    numbers = np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.int32)
+    owner = np.concatenate([np.repeat(numbers, [s.stops for s in shards]), np.repeat(numbers, [len(s.before) - s.stops for s in shards])])
     prefix = np.full(n, width, np.uint8)
     prefix[0] = 0
     border = np.zeros(n, bool)
-    border[0] = True  # nothing is known before round 1; a terminator behind a window must not divide it
-    for h in range(1, width + 1):
-        symbol = before[rows]
-        block = np.cumsum(border, dtype=np.int32)
+    border[0] = True  # nothing is known before the first round; a terminator behind a window must not divide it
+    done = 0
+    if all(s.head is not None for s in shards) and width >= HEAD:
+        head = np.concatenate([s.head for s in shards])
+        order = np.argsort(head, kind="stable")
+        head, ended = head[order], np.concatenate([s.ended for s in shards])[order]
+        owner = np.repeat(numbers, [len(s.before) for s in shards])[order]
+        common = np.zeros(n, np.uint8)
+        other = head[1:] ^ head[:-1]
+        for k in range(1, HEAD + 1):
+            # Equal heads with a terminator agree up to it: behind it stand zeros.
+            common[1:] += (other >> np.uint64(64 - 8 * k) == 0) & ((head[1:] >> np.uint64(64 - 8 * k)) & np.uint64(255) != 0)
+        border[1:] = (other != 0) | ended[1:]
+        prefix[border] = common[border]
+        done = HEAD
+    dealt = np.sort(before, kind="stable")[m:]  # every round deals the same bytes
+    change = dealt[1:] != dealt[:-1]
+    new = np.ones(n, bool)
+    symbol, block, over = np.empty(n, before.dtype), np.empty(n, np.int32), np.empty(n - m, np.int32)
+    for h in range(done + 1, width + 1):
+        for k, s in enumerate(shards):
+            symbol[owner == k] = s.before
+        np.cumsum(border, dtype=np.int32, out=block)
         source = np.argsort(symbol, kind="stable")[m:]  # rows before a terminator keep their place
-        rows = np.concatenate([stops, step[rows[source]]])
-        new = np.ones(n, bool)
-        block, symbol = block[source], symbol[source]
-        new[m + 1 :] = (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])
-        prefix[new & ~border] = h - 1
+        np.take(block, source, out=over, mode="clip")
+        owner = np.concatenate([np.repeat(numbers, [s.stops for s in shards]), owner[source]])
+        new[m + 1 :] = (over[1:] != over[:-1]) | change
+        prefix[new > border] = h - 1
         border |= new
+    rows = np.empty(n, np.int64)
+    rows[np.argsort(owner, kind="stable")] = np.arange(n)
     return rows, prefix
 
 

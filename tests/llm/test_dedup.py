@@ -153,6 +153,26 @@ def test_merged_transforms(shard, merge):
     assert (substrings.first_of_equal(*chunk, width=7, shard=shard, merge=merge) == want).all()
 
 
+@pytest.mark.parametrize("width", [8, 9, 21])
+@pytest.mark.parametrize("low", [1, 2])
+def test_merged_transforms_that_start_from_heads(width, low):
+    chunk, want = equal_windows(random.Random(width), 30, width, low)
+    assert (substrings.first_of_equal(*chunk, width=width, shard=300) == want).all()
+    text = chunk[0][:200].astype(np.uint8) * (np.arange(200) % 23 > 0)  # terminators everywhere
+    whole = [bytes(text[i : i + substrings.HEAD]).split(b"\0")[0] for i in range(200)]
+    code, ended = substrings.heads(text)
+    assert [c.to_bytes(8, "big").rstrip(b"\0") for c in code.tolist()] == whole and ended.tolist() == [len(w) < substrings.HEAD for w in whole]
+
+
+def test_the_census_leaves_no_shuffle_files(spark, copies):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    plain, scheme = segments.numbered(copies, "doc_id", "text"), segments.Scheme(substrings.WIDTH, substrings.GRAM, False)
+    before = held()
+    table, _ = segments.census(plain, scheme, True)
+    segments.bit_table(spark.range(1000).select(F.xxhash64("id").alias("anchor")))
+    assert table.any() and held() <= before
+
+
 @pytest.mark.parametrize("shard", [1 << 18, 250])
 def test_fm_index(shard):
     chunk, want = equal_windows(random.Random(6), 40, 6)
