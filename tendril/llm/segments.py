@@ -34,8 +34,8 @@ FREQUENT = 1 << 20
 PIECE = 1 << 17
 #: Bytes of whole documents that a task handles at once, whatever the batch.
 GROUP = 1 << 22
-#: Segments and windows of a task that are held before equal ones become one.
-ROWS = 1 << 18
+#: Segments and windows of a task that are held before equal ones become one, and of a batch that it sends.
+ROWS, SENT = 1 << 17, 1 << 14
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
 
@@ -157,7 +157,8 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> tuple[np.ndarra
     is sent with their bytes too; where these sums exceed FREQUENT it is frequent, so there are fewer
     of them than FREQUENT goes into the text's segments.
     """
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    with freed(docs.sparkSession):
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     expected = max(1, 2 * total // (scheme.width - scheme.gram + 2) // (5 if scheme.by_word else 1))
     bits = int(np.clip(np.ceil(np.log2(2 * expected)), LEAST_BITS, MOST_BITS))
     ranges = int(np.clip(np.ceil(np.log2(expected / (1 << 18))), 8, bits - 6))  # the first byte follows from the range
@@ -223,7 +224,8 @@ def census(docs: DataFrame, scheme: Scheme, other_docs: bool) -> tuple[np.ndarra
 
 def bit_table(values: DataFrame) -> np.ndarray:
     """Bits of numbers (column ``anchor``) by their leading bits: a filter of bounded size, packed by the executors."""
-    n = values.count()
+    with freed(values.sparkSession):
+        n = values.count()
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n) * 16)))))
     page = min(bits, 18)
 
@@ -256,9 +258,14 @@ def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 def collapse(rows: pa.Table, other_docs: bool) -> pa.Table:
     """Equal segments (or windows) as one: the first occurrence, and in ``more`` the greatest doc or the number of occurrences."""
-    rows = rows.sort_by([(c, "ascending") for c in ("doc", "row", "start")])
+    # Only a number for each content is sorted and grouped: copies of the contents would stand beside them.
+    content = rows.column("content").combine_chunks().dictionary_encode()
+    plain = rows.drop_columns("content").append_column("content", content.indices).combine_chunks()
+    plain = plain.sort_by([(c, "ascending") for c in ("doc", "row", "start")])
     first = [(c, "first") for c in ("anchor", "doc", "row", "start")]
-    grouped = pa.TableGroupBy(rows, ["content", "alone"], use_threads=False).aggregate([*first, ("more", "max" if other_docs else "sum")])
+    grouped = pa.TableGroupBy(plain, ["content", "alone"], use_threads=False).aggregate([*first, ("more", "max" if other_docs else "sum")])
+    at = grouped.column_names.index("content")
+    grouped = grouped.set_column(at, "content", content.dictionary.take(grouped.column("content").combine_chunks()))
     names = [c.removesuffix("_first").removesuffix("_max").removesuffix("_sum") for c in grouped.column_names]
     return grouped.rename_columns(names).select(["anchor", "content", "doc", "row", "start", "more", "alone"])
 
@@ -303,10 +310,10 @@ def occurrences(docs: DataFrame, scheme: Scheme, table: tuple[np.ndarray, np.nda
                     found = [collapse(pa.concat_tables(found), other_docs)]
                     held = found[0].num_rows
                     if held > ROWS // 2:
-                        yield from found[0].combine_chunks().to_batches()
+                        yield from found[0].combine_chunks().to_batches(SENT)
                         found, held = [], 0
         if found:
-            yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches()
+            yield from collapse(pa.concat_tables(found), other_docs).combine_chunks().to_batches(SENT)
 
     return docs.select("doc", "row", "text").mapInArrow(run, SEGMENT)
 
@@ -462,7 +469,8 @@ def covered(docs: DataFrame, scheme: Scheme, kernel: Kernel, other_docs: bool) -
     begin = F.col("start") + F.col("off")
     pairs = own.join(told, ["h1", "h2"]).filter(earlier)
     spans = pairs.select("doc", "row", F.struct(begin.alias("start"), (begin + F.col("n") + scheme.width - 1).alias("end")).alias("span"))
-    return spans.groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))
+    # Written, so that the shuffle files of all places are gone before the texts are dealt to their spans.
+    return materialize(spans.groupBy("doc", "row").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 def without(docs: DataFrame, spans: DataFrame, kept: Callable, schema: T.StructType) -> DataFrame:

@@ -173,6 +173,12 @@ def test_the_census_leaves_no_shuffle_files(spark, copies):
     assert table.any() and held() <= before
 
 
+def test_places_are_gone_before_texts_are_dealt(spark, copies):
+    plain, scheme = segments.numbered(copies, "doc_id", "text"), segments.Scheme(substrings.WIDTH, substrings.GRAM, False)
+    spans = segments.covered(plain, scheme, lambda *c: substrings.first_of_equal(*c, width=substrings.WIDTH), True)
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString() and spans.count()
+
+
 @pytest.mark.parametrize("shard", [1 << 18, 250])
 def test_fm_index(shard):
     chunk, want = equal_windows(random.Random(6), 40, 6)
