@@ -115,6 +115,16 @@ def test_language_model_sums_to_one_and_beats_single_words(spark):
     assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens)) for r in found)
 
 
+def test_digest_looks_at_two_words_before(spark, monkeypatch):
+    """Which word follows depends on the word before the last; pairs alone cannot tell."""
+    monkeypatch.setattr(kneser_ney, "PART", 1 << 9)  # many parts
+    texts = [f"{a} so {b} {i % 7}" for i in range(300) for a, b in (("one", "un"), ("two", "deux"))]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCUMENTS)
+    slow = Slow([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    got = {r.doc_id: r.score for r in kneser_ney.digest(docs).collect()}
+    assert all(math.isclose(got[i], slow.score(t), rel_tol=1e-9, abs_tol=1e-9) for i, t in enumerate(texts))
+
+
 def test_language_model_without_texts(spark, odd, nothing):
     model = kneser_ney.fit(nothing, 2)
     assert {(r.n_known, r.base_score, r.score) for r in kneser_ney.score(odd, model).collect()} == {(0, 0.0, 0.0)}
