@@ -13,10 +13,10 @@ def _c(x) -> Column:
 
 
 def squared_distance(a, b) -> Column:
-    """Sum of squared differences of two equally long coordinate lists."""
+    """Sum of squared differences of two equally long coordinate lists, as doubles: squares of whole numbers overflow."""
     total = None
     for p, q in zip(a, b):
-        d = _c(p) - _c(q)
+        d = _c(p).cast("double") - _c(q).cast("double")
         total = d * d if total is None else total + d * d
     return total
 
@@ -58,7 +58,8 @@ def code_to_offset(code) -> tuple[Column, Column, Column]:
 
 def linear_index(x, y, z, nx, ny) -> Column:
     """Position in x-fastest order."""
-    return _c(x).cast("bigint") + _c(y) * _c(nx) + _c(z) * _c(nx) * _c(ny)
+    row = _c(nx).cast("bigint")
+    return _c(x).cast("bigint") + _c(y) * row + _c(z) * row * _c(ny)
 
 
 def index_to_xyz(index, nx, ny) -> tuple[Column, Column, Column]:

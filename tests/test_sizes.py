@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tendril.functions import geometry
 from tendril.operators import compare, costmap, fields, graph, spatial, topology
 from tendril.session import materialize
 
@@ -137,3 +138,11 @@ def test_nearest_lists_no_pairs_of_points(spark):
         assert got[i] == (r, round(math.sqrt(d), 9))
     assert len(got) == 700
     assert {r.l_id for r in spatial.nearest(side["l"], side["r"], 0.2).collect()} == {i for i, (_, d) in got.items() if d < 0.2}
+
+
+def test_far_lattice_points_have_a_distance(spark):
+    """Squares of whole numbers above 46340 do not fit an int."""
+    df = spark.createDataFrame([(60_000, 80_000, 0), (3, 4, 12)], "x int, y int, z int")
+    zero = [F.lit(0)] * 3
+    got = [tuple(r) for r in df.select(geometry.distance(["x", "y", "z"], zero), geometry.linear_index("x", "y", "z", F.lit(1000), F.lit(7)), geometry.linear_index("x", "y", "y", F.lit(100_000), F.lit(7))).collect()]
+    assert got == [(100_000.0, 80_060_000, 56_000_000_000 + 8_000_000_000 + 60_000), (13.0, 88_003, 3 + 400_000 + 2_800_000)]
